@@ -595,26 +595,25 @@ def latency_stats(searches: DataFrame, key: str, size: int = 1000) -> DataFrame:
 
 
 def page_summaries(entities: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per page: component and net counts, type set, power nets and the first ten terms.
+    """Summary sentence per page: entity counts, types, power nets, first ten terms.
 
     ``entities``: ``page, kind ('component'|'net'), name, type``; ``terms``: ``page, term``.
     """
+    is_component, is_net = F.col("kind") == "component", F.col("kind") == "net"
     base = entities.groupBy("page").agg(
-        count_if(F.col("kind") == "component").alias("components"), count_if(F.col("kind") == "net").alias("nets"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "component", F.col("type")))).alias("types"))
-    is_power = (F.col("kind") == "net") & F.upper("name").rlike("VCC|VDD|BAT|PWR|POWER|12V|5V|24V")
-    nets = top_rows(entities.filter(is_power).select("page", "name").distinct(), "page", [F.col("name")], 10).groupBy("page").agg(
-        F.array_sort(F.collect_list("name")).alias("power_nets"))
+        count_if(is_component).alias("components"), count_if(is_net).alias("nets"),
+        F.array_sort(F.collect_set(F.when(is_component, F.col("type")))).alias("types"),
+        F.array_sort(F.collect_set(F.when(is_net & F.lower("name").rlike("vcc|gnd|power|supply"), F.col("name")))).alias("power_nets"))
     words = top_rows(terms.select("page", "term").distinct(), "page", [F.col("term")], 10).groupBy("page").agg(
         F.array_sort(F.collect_list("term")).alias("terms"))
-    out = base.join(nets, "page", "left").join(words, "page", "left")
-    text = F.concat_ws(" ", F.array_compact(F.array(
-        F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(":")),
-        F.when(F.col("components") > 0, F.concat(F.col("components").cast("string"), F.lit(" components ("), F.array_join("types", ", "), F.lit(")."))),
-        F.when(F.col("nets") > 0, F.concat(F.col("nets").cast("string"), F.lit(" nets."))),
-        F.when(F.size("power_nets") > 0, F.concat(F.lit("Power nets: "), F.array_join("power_nets", ", "), F.lit("."))),
-        F.when(F.size("terms") > 0, F.concat(F.lit("Terms: "), F.array_join("terms", ", "), F.lit("."))))))
-    return out.select("page", "components", "nets", text.alias("summary"))
+
+    def listed(label: str, column: str) -> Column:
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"{label}: "), F.array_join(column, ", "), F.lit(".")))
+
+    text = F.concat_ws(" ", F.format_string("Page %s schematic analysis summary.", F.col("page").cast("string")),
+                       F.format_string("Contains %d components and %d electrical nets.", "components", "nets"),
+                       listed("Component types", "types"), listed("Power nets", "power_nets"), listed("Key technical terms", "terms"))
+    return base.join(words, "page", "left").select("page", "components", "nets", text.alias("summary"))
 
 
 def power_budget(components: DataFrame, powered_by: DataFrame) -> DataFrame:
