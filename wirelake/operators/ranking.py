@@ -247,18 +247,22 @@ def wire_lengths(components: DataFrame, connects_to: DataFrame) -> DataFrame:
     ).withColumn("routing_complexity", F.when(length > 1000, "high").when(length > 500, "medium").otherwise("low"))
 
 
-def peripherals(new: DataFrame, placed: DataFrame, k: int = 8, reach: float = 800.0, landmarks=("battery", "alternator", "ecu")) -> DataFrame:
+#: Parts that are always given as orientation.
+LANDMARKS = ("engine", "battery", "fuse_box", "relay_box", "alternator", "starter")
+
+
+def peripherals(new: DataFrame, placed: DataFrame, k: int = 8, reach: float = 800.0) -> DataFrame:
     """The ``k`` nearest placed components of the tenant: landmarks at any distance, others within reach."""
-    kinds = list(landmarks)
+    marks = "|".join(LANDMARKS)
 
     def score(lp, rp):
         d = np.sqrt(sum((_numbers(lp, a)[:, None] - _numbers(rp, a)[None, :]) ** 2 for a in "xyz"))
-        major = rp["type"].isin(kinds).to_numpy()[None, :]
+        major = rp["major"].to_numpy(dtype=bool)[None, :]
         ok = (major | (d <= reach)) & (lp["id"].to_numpy(dtype=object)[:, None] != rp["id"].to_numpy(dtype=object)[None, :])
         return np.where(ok, -d, -np.inf)
 
     return tiled_topk(new.filter(has_position()).select("id", TENANT, "x", "y", "z"),
-                      placed.filter(has_position()).select("id", TENANT, "type", "x", "y", "z"), [TENANT], k, score
+                      placed.filter(has_position()).select("id", TENANT, F.lower(F.concat_ws(" ", "type", "name")).rlike(marks).alias("major"), "x", "y", "z"), [TENANT], k, score
                       ).select(F.col("left_id").alias("id"), F.col("right_id").alias("peripheral_id"),
                                F.negative("score").alias("distance"), "rank")
 

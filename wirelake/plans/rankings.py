@@ -149,7 +149,7 @@ def _(t):
 
 
 @query("o06_peripherals", """WITH d AS (SELECT a.id, b.id AS peripheral_id, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2),6) AS distance, b.type FROM components a JOIN components b ON a.vehicle_signature=b.vehicle_signature AND a.id<>b.id WHERE a.x IS NOT NULL AND b.x IS NOT NULL AND a.type='connector')
-SELECT id, peripheral_id, distance, row_number() OVER (PARTITION BY id ORDER BY distance, peripheral_id) AS rank FROM d WHERE type IN ('battery','alternator','ecu') OR distance<=800 QUALIFY rank<=8""", "components")
+SELECT id, peripheral_id, distance, row_number() OVER (PARTITION BY id ORDER BY distance, peripheral_id) AS rank FROM d WHERE type = 'battery' OR distance<=800 QUALIFY rank<=8""", "components")
 def _(t):
     return op.peripherals(t.components.filter("type = 'connector'"), t.components)
 

@@ -127,6 +127,30 @@ FROM orders""",
         ("nation",),
         """SELECT concat('S', n_nationkey) AS name, n_nationkey * 40 AS start_page, n_nationkey * 40 + 59 AS end_page
 FROM nation""",
+    ),
+    "tags": (
+        ("part",),
+        """SELECT concat('P', p_partkey) AS id,
+       CASE p_partkey % 12 WHEN 0 THEN concat('R', p_size) WHEN 1 THEN concat(p_size, 'k') WHEN 2 THEN concat(p_size, 'V')
+            WHEN 3 THEN 'VCC' WHEN 4 THEN concat('DATA[', p_size, ':0]') WHEN 5 THEN 'GND' WHEN 6 THEN concat('+', p_size, '.5V in')
+            WHEN 7 THEN concat('relay k-', p_size) WHEN 8 THEN 'CLK' WHEN 9 THEN concat('FUSE F', p_size)
+            WHEN 10 THEN concat('net_battery_ignition1', p_size) ELSE concat('can_h ', p_brand) END AS text
+FROM part""",
+    ),
+    "strokes": (
+        ("lineitem",),
+        """SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       l_tax * 1000 AS ax1, l_discount * 1000 AS ay1, l_quantity * 2 AS ax2, CAST(l_linenumber * 30 AS DOUBLE) AS ay2,
+       l_quantity AS bx1, CAST(l_linenumber * 11 AS DOUBLE) AS by1, l_discount * 900 AS bx2, l_tax * 800 + 40 AS by2
+FROM lineitem""",
+    ),
+    "asked": (
+        ("conversations", "benchmark", "part"),
+        """SELECT concat('C', conv_id, '-', turn) AS id, text FROM conversations WHERE role = 'user'
+UNION ALL SELECT concat('B', item_id), text FROM benchmark
+UNION ALL SELECT concat('P', p_partkey), concat(CASE p_partkey % 9 WHEN 0 THEN 'where is the relay with ' WHEN 1 THEN 'fuse problem in the dash, ' WHEN 2 THEN 'compare ecu and sensor '
+  WHEN 3 THEN 'battery specs ' WHEN 4 THEN 'similar connector for ' WHEN 5 THEN 'install pump near trunk ' WHEN 6 THEN 'starter wire harness '
+  WHEN 7 THEN 'ground point in engine bay ' ELSE 'general note ' END, p_size, CASE p_partkey % 4 WHEN 0 THEN 'V ' WHEN 1 THEN ' amps ' WHEN 2 THEN 'w 12 volt ' ELSE ' ' END, p_brand) FROM part""",
     ),
     "qrels": (
         ("embeddings",),
