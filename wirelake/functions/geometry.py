@@ -109,11 +109,8 @@ def nearest_on(s: Column, x: Column, y: Column) -> Column:
     return F.struct((s["x1"] + t * dx).alias("x"), (s["y1"] + t * dy).alias("y"))
 
 
-def closest_points(a: Column, b: Column) -> Column:
-    """``struct(distance, x, y)``: gap between two segments and the middle of that gap.
-
-    For segments that do not cross, the gap ends at one of the four end points.
-    """
+def end_gap(a: Column, b: Column) -> Column:
+    """``struct(distance, x, y)``: shortest way from an end point of one segment to the other."""
     options = []
     for s, o in ((a, b), (b, a)):
         for end in ("1", "2"):
@@ -121,9 +118,17 @@ def closest_points(a: Column, b: Column) -> Column:
             near = nearest_on(o, x, y)
             options.append(F.struct(F.hypot(x - near["x"], y - near["y"]).alias("distance"),
                                     ((x + near["x"]) / 2).alias("x"), ((y + near["y"]) / 2).alias("y")))
+    return F.array_min(F.array(*options))
+
+
+def closest_points(a: Column, b: Column) -> Column:
+    """``struct(distance, x, y)``: gap between two segments and the middle of that gap.
+
+    For segments that do not cross, the gap ends at one of the four end points.
+    """
     cross = seg_intersection(a, b)
     met = F.when(cross.isNotNull(), F.struct(F.lit(0.0).alias("distance"), cross["x"].alias("x"), cross["y"].alias("y")))
-    return F.coalesce(met, F.array_min(F.array(*options)))
+    return F.coalesce(met, end_gap(a, b))
 
 
 def dist3(p: Column, q: Column) -> Column:

@@ -55,3 +55,9 @@ def best_per_key(df: DataFrame, keys: list[str], score: Column, tie: list[Column
 
 def dedup_edges(edges: DataFrame, keys: tuple[str, ...] = ("src", "dst", "rel_type")) -> DataFrame:
     return edges.dropDuplicates(list(keys))
+
+
+def apply_updates(df: DataFrame, updates: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Set ``{column: update_column}`` where the update has a value; other rows stay as they are."""
+    joined = df.join(updates.select(*keys, *columns.values()), keys, "left")
+    return joined.withColumns({c: F.coalesce(F.col(u), F.col(c)) for c, u in columns.items()}).select(*df.columns)

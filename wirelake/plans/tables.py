@@ -182,6 +182,21 @@ UNION ALL
 SELECT doc_id, doc_id, 'mistral', pos, word, CAST((pos % 20) * 50 + 1 AS DOUBLE), CAST((pos // 20) * 20 + 1 AS DOUBLE),
   CAST((pos % 20) * 50 + 8 * length(word) + 1 AS DOUBLE), CAST((pos // 20) * 20 + 15 AS DOUBLE), 0.7 FROM words WHERE pos % 3 = 0) s""",
     ),
+    "segments": (
+        ("words",),
+        """SELECT doc_id, concat('h', doc_id, '-', line) AS seg_id, 0.0::DOUBLE AS x1, CAST(line * 20 AS DOUBLE) AS y1, CAST(w AS DOUBLE) AS x2, CAST(line * 20 AS DOUBLE) AS y2
+FROM (SELECT doc_id, pos // 20 AS line, max((pos % 20) * 50 + 8 * length(word)) AS w FROM words GROUP BY 1, 2) l
+UNION ALL SELECT doc_id, concat('v', doc_id, '-', pos), CAST((pos % 20) * 50 AS DOUBLE), CAST((pos // 20) * 20 AS DOUBLE), CAST((pos % 20) * 50 AS DOUBLE), CAST((pos // 20) * 20 + 20 AS DOUBLE)
+FROM words WHERE length(word) > 9""",
+    ),
+    "detections": (
+        ("words",),
+        """SELECT doc_id, concat('c', doc_id, '-', pos) AS comp_id,
+  CASE length(word) WHEN 1 THEN 'resistor' WHEN 2 THEN 'resistor' WHEN 3 THEN 'capacitor' WHEN 4 THEN 'ic' WHEN 5 THEN 'diode' WHEN 6 THEN 'connector' ELSE 'transistor' END AS label,
+  CAST((pos % 20) * 50 - 5 AS DOUBLE) AS x1, CAST((pos // 20) * 20 - 5 AS DOUBLE) AS y1, CAST((pos % 20) * 50 + 8 * length(word) + 5 AS DOUBLE) AS x2,
+  CAST((pos // 20) * 20 + 19 AS DOUBLE) AS y2, 0.5 + (pos % 50) / 100.0::DOUBLE AS confidence
+FROM words WHERE regexp_matches(word, '^[A-Z]')""",
+    ),
 }
 
 
@@ -210,7 +225,27 @@ def _text_spans(t: "Tables") -> DataFrame:
         "doc_id", "page", "r.engine", "pos", "r.text", "r.x1", "r.y1", "r.x2", "r.y2", "r.confidence")
 
 
-BUILDERS = {"words": _words, "text_spans": _text_spans}
+def _segments(t: "Tables") -> DataFrame:
+    """One line under each row of words, and a tick at the start of each long word."""
+    line, left = F.floor(F.col("pos") / 20).cast("int"), F.col("pos") % 20 * 50
+    rows = t.words.groupBy("doc_id", line.alias("line")).agg(F.max(left + 8 * F.length("word")).alias("w"))
+    y = F.col("line") * 20.0
+    flat = rows.select("doc_id", F.concat(F.lit("h"), "doc_id", F.lit("-"), "line").alias("seg_id"), F.lit(0.0).alias("x1"), y.alias("y1"), F.col("w").cast("double").alias("x2"), y.alias("y2"))
+    ticks = t.words.filter(F.length("word") > 9).select(
+        "doc_id", F.concat(F.lit("v"), "doc_id", F.lit("-"), "pos").alias("seg_id"), left.cast("double").alias("x1"), (line * 20.0).alias("y1"), left.cast("double").alias("x2"), (line * 20.0 + 20).alias("y2"))
+    return flat.unionByName(ticks)
+
+
+def _detections(t: "Tables") -> DataFrame:
+    """A box around each capitalised word; the word length picks the label."""
+    line, left, n = F.floor(F.col("pos") / 20).cast("int") * 20, F.col("pos") % 20 * 50, F.length("word")
+    label = (F.when(n <= 2, "resistor").when(n == 3, "capacitor").when(n == 4, "ic").when(n == 5, "diode").when(n == 6, "connector").otherwise("transistor"))
+    return t.words.filter(F.col("word").rlike("^[A-Z]")).select(
+        "doc_id", F.concat(F.lit("c"), "doc_id", F.lit("-"), "pos").alias("comp_id"), label.alias("label"), (left - 5).cast("double").alias("x1"), (line - 5).cast("double").alias("y1"),
+        (left + 8 * n + 5).cast("double").alias("x2"), (line + 19).cast("double").alias("y2"), (F.lit(0.5) + (F.col("pos") % 50) / F.lit(100.0)).alias("confidence"))
+
+
+BUILDERS = {"words": _words, "text_spans": _text_spans, "segments": _segments, "detections": _detections}
 
 
 class Tables:
