@@ -273,8 +273,10 @@ def junction_points(segments: DataFrame, key: list[str], tol: float = 8.0) -> Da
     met = cut(once.withColumn("p", geo.seg_intersection(a, b)))
     gap = geo.end_gap(a, b)
     point = F.when(F.col("p").isNotNull(), F.col("p")).when(F.col("g.distance") <= tol, F.struct(F.col("g.x").alias("x"), F.col("g.y").alias("y")))
-    met = cut(met.withColumn("g", F.when(F.col("p").isNull(), gap)).withColumn("q", point).filter(F.col("q").isNotNull()))
-    crossing = met.withColumn("confidence", geo.intersection_confidence(a, b, F.col("q"))).filter(
+    met = cut(met.withColumn("g", F.when(F.col("p").isNull(), gap)))
+    met = cut(met.withColumn("q", point).filter(F.col("q").isNotNull()))
+    met = cut(met.withColumn("confidence", geo.intersection_confidence(a, b, F.col("q"))))
+    crossing = met.filter(
         F.col("confidence") > F.when(F.col("p").isNotNull(), 0.5).otherwise(0.3))
     crossing = crossing.select(*keep, F.col("q.x").alias("x"), F.col("q.y").alias("y"), F.lit("cross").alias("kind"), "confidence", F.explode(F.array(*ids)).alias("seg_id"))
 
