@@ -659,3 +659,8 @@ def harnesses(components: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("e.vehicle_signature"), F.concat_ws("-", F.least(za, zb), F.greatest(za, zb)).alias("harness"),
         F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("length")
     ).groupBy(TENANT, "harness").agg(n().alias("wires"), F.sum("length").alias("total_length"), F.max("length").alias("longest"))
+
+
+def unconnected(components: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return components.join(ends, "id", "left_anti")

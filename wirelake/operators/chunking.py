@@ -142,7 +142,7 @@ KNOWLEDGE_SCHEMA = """vehicle struct<make:string, model:string, year_start:int,
 location:struct<zone:string, sub_zone:string, side:string, access:string>, connections:array<struct<source:string, target:string, connection_type:string, wire_color:string, wire_gauge:string>>,
 symptom:string, root_cause:string, solution:string, cost_estimate:string, confidence:double>>"""
 #: Kinds of knowledge that are accepted.
-KNOWLEDGE_TYPES = ["component_location", "wire_connection", "fault_diagnosis", "repair_procedure", "specification", "symptom_solution"]
+KNOWLEDGE_TYPES = ["location", "connection", "failure", "specification", "harness_path", "accessibility"]
 
 
 def parse_knowledge(raw: DataFrame, posts: DataFrame, kinds: list[str] = KNOWLEDGE_TYPES) -> DataFrame:
