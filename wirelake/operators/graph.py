@@ -166,7 +166,8 @@ def bfs(
     Among equal-length ways the smallest ``(parent, rel_type)`` is kept.  With ``targets``
     ``(start, target)`` a start stops growing once all its targets are reached.
     """
-    steps = cut(edges.groupBy("src", "dst").agg(F.min("rel_type").alias("rel_type")))
+    kind = F.min("rel_type") if "rel_type" in edges.columns else F.lit("EDGE")
+    steps = cut(edges.groupBy("src", "dst").agg(kind.alias("rel_type")))
     level = cut(
         starts.select("start").distinct().select(
             "start", F.col("start").alias("node"), F.lit(0).alias("depth"),
