@@ -252,7 +252,7 @@ def data_quality(components, edges) -> DataFrame:
     pos, ele = F.col("position_percent"), F.col("electrical_percent")
 
     def one(c: Column) -> Column:
-        return F.format_string("%.1f", c)
+        return F.format_string("%.1f", F.bround(c, 1))
 
     return (
         out.withColumn("overall_quality_score", score)

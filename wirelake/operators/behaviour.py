@@ -86,7 +86,7 @@ def usability_issues(interactions: DataFrame, now: Column, hours: int = 24, rate
     recent = interactions.filter((F.col("ts") > now - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col("ts") <= now))
     total = recent.agg(n().alias("total"), count_if(kind_is("undo_redo")).alias("undo"), F.count_distinct("interaction_type").alias("used"))
     failed = recent.groupBy("interaction_type").agg(count_if(~F.col("success")).alias("bad"), n().alias("c"))
-    shares = failed.withColumn("_g", F.lit(1)).join(total.withColumn("_g", F.lit(1)), "_g").withColumn("value", F.col("bad") / F.col("total"))
+    shares = failed.withColumn("_g", F.lit(1)).join(F.broadcast(total.withColumn("_g", F.lit(1))), "_g").withColumn("value", F.col("bad") / F.col("total"))
     errors = shares.filter(F.col("value") > rate).select(F.lit("high_error_rate").alias("issue"), F.col("interaction_type").alias("feature"), "value",
                                                       F.when(F.col("value") > 0.3, "high").otherwise("medium").alias("severity"))
     undo = total.filter(F.col("undo") / F.greatest("total", F.lit(1)) > 0.15).select(
@@ -143,7 +143,7 @@ def interaction_features(interactions: DataFrame) -> DataFrame:
     base = interactions.groupBy("user_id").agg(n().cast("double").alias("f0"), F.avg("duration_ms").alias("f1"), (count_if(F.col("success")) / n()).alias("f2"),
                                                F.avg(F.hour("ts").cast("double")).alias("f3"))
     stats = base.agg(*[F.avg(c).alias(f"m_{c}") for c in ("f0", "f1", "f2", "f3")], *[F.stddev_pop(c).alias(f"s_{c}") for c in ("f0", "f1", "f2", "f3")]).withColumn("_g", F.lit(1))
-    joined = base.withColumn("_g", F.lit(1)).join(stats, "_g")
+    joined = base.withColumn("_g", F.lit(1)).join(F.broadcast(stats), "_g")  # one row
     return joined.select("user_id", *[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("f0", "f1", "f2", "f3")])
 
 

@@ -153,8 +153,9 @@ def specific_or_generic(keys: DataFrame, dim: DataFrame, key: str = "vehicle", g
     """Rows of ``dim`` for each key; a key without rows of its own gets the generic ones."""
     own = keys.join(dim, key)
     rest = keys.join(dim.select(key).distinct(), key, "left_anti")
-    shared = dim.filter(F.col(key) == generic).drop(key).withColumn("_g", F.lit(1))
-    return own.unionByName(rest.withColumn("_g", F.lit(1)).join(shared, "_g").drop("_g"))
+    # every such key meets every generic row: spread the keys over shares of the join
+    shared = dim.filter(F.col(key) == generic).drop(key).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return own.unionByName(rest.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64)).cast("int")).join(shared, "_s").drop("_s"))
 
 
 def power_bottlenecks(components: DataFrame, powered_by: DataFrame, fraction: float = 0.8) -> DataFrame:

@@ -183,7 +183,7 @@ def validate_vehicles(vehicles: DataFrame, components: DataFrame, circuits: Data
     base = vehicles.select(F.col("signature").alias(TENANT)).join(comp, TENANT, "left").join(bare, TENANT, "left").join(lone, TENANT, "left").fillna(0)
 
     def share(c: str) -> Column:
-        return F.format_string("%.1f", F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0))
+        return F.format_string("%.1f", F.bround(F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(0.0), 1))
 
     def text(c: str) -> Column:
         return F.col(c).cast("string")

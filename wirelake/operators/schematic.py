@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wirelake.functions import geometry as geo
 from wirelake.functions import text as tx
 from wirelake.operators.graph import connected_components
-from wirelake.operators.spatial import box_pairs, component_nets, near_pairs, segment_boxes
+from wirelake.operators.spatial import box_pairs, cell_size, component_nets, near_pairs, segment_boxes
 from wirelake.scale import number_rows, top_rows
 from wirelake.session import cut
 
@@ -31,8 +31,8 @@ def group_boxes(boxes: DataFrame, key: list[str], iou: float = 0.3) -> DataFrame
     The group is the smallest place text of its members.
     """
     placed = boxes.withColumn("_place", _place(key))
-    distinct = placed.select("_place", *key, *BOX).distinct()
-    pairs = box_pairs(distinct, distinct, key, size=100.0)
+    distinct = cut(placed.select("_place", *key, *BOX).distinct())
+    pairs = box_pairs(distinct, distinct, key, cell_size(distinct))
     a, b = F.col("a"), F.col("b")
     links = pairs.filter((a["_place"] < b["_place"]) & (geo.iou(a, b) > iou)).select(a["_place"].alias("src"), b["_place"].alias("dst"))
     groups = connected_components(distinct.select(F.col("_place").alias("id")), links)

@@ -60,7 +60,7 @@ def similar_items(ids: DataFrame, vectors: DataFrame, k: int, chunk_type: str, m
 def multi_collection_topk(queries: DataFrame, vectors: DataFrame, k: int, collection: str) -> DataFrame:
     """The ``k`` nearest of every collection for every query."""
     names = vectors.select(collection).distinct().agg(F.collect_set(collection).alias("_names")).withColumn("_g", F.lit(1))
-    asked = queries.withColumn("_g", F.lit(1)).join(names, "_g").select("query_id", "embedding", F.explode("_names").alias(collection))
+    asked = queries.withColumn("_g", F.lit(1)).join(F.broadcast(names), "_g").select("query_id", "embedding", F.explode("_names").alias(collection))
     asked = asked.withColumn("_key", F.concat_ws("|", F.col(collection).cast("string"), F.col("query_id").cast("string")))
     hits = tiled_topk(asked, vectors.select("vec_id", "embedding", collection), [collection], k, _cosine(None), left_id="_key", right_id="vec_id",
                       left_size=512, right_size=4096, id_types=("string", dict(vectors.dtypes)["vec_id"]))
@@ -119,7 +119,7 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     vocabulary = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     prefixes = vocabulary.select("term", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substr(F.col("term"), F.lit(1), n))).alias("asked"))
     words = asked.join(prefixes, "asked")
-    hits = words.join(index, "term").withColumn("_g", F.lit(1)).join(total, "_g")
+    hits = words.join(index, "term").withColumn("_g", F.lit(1)).join(F.broadcast(total), "_g")
     per_term = hits.groupBy("query_id", "doc_id", "asked").agg(F.sum(F.col("tf") * F.log1p(F.col("_total") / F.col("df"))).alias("s"))
     scored = per_term.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_have"), F.round(F.sum("s"), 6).alias("score")).join(size, "query_id").filter("_have = _need")
     return top_rows(scored.select("query_id", "doc_id", "score"), "query_id", [F.col("score").desc(), F.col("doc_id")], k)

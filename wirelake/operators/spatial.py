@@ -39,24 +39,31 @@ def near_pairs(a: DataFrame, b: DataFrame, r: float, key: list[str], axes: str =
     return left.join(right, on).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= r).select(*names, "distance")
 
 
-def _box_cells(df: DataFrame, size: float, pad: float) -> DataFrame:
-    cx = F.sequence(_cell(F.col("x1") - pad, size), _cell(F.col("x2") + pad, size))
-    cy = F.sequence(_cell(F.col("y1") - pad, size), _cell(F.col("y2") + pad, size))
+def _box_cells(df: DataFrame, size: tuple[float, float], pad: float) -> DataFrame:
+    cx = F.sequence(_cell(F.col("x1") - pad, size[0]), _cell(F.col("x2") + pad, size[0]))
+    cy = F.sequence(_cell(F.col("y1") - pad, size[1]), _cell(F.col("y2") + pad, size[1]))
     return df.withColumn("_cx", F.explode(cx)).withColumn("_cy", F.explode(cy))
 
 
-def box_pairs(a: DataFrame, b: DataFrame, key: list[str], size: float = 100.0, pad: float = 0.0,
+def cell_size(boxes: DataFrame) -> tuple[float, float]:
+    """Twice the mean box: most boxes then touch one to four cells."""
+    w, h = boxes.agg(F.avg(F.col("x2") - F.col("x1")), F.avg(F.col("y2") - F.col("y1"))).first()
+    return max(2 * (w or 1.0), 1.0), max(2 * (h or 1.0), 1.0)
+
+
+def box_pairs(a: DataFrame, b: DataFrame, key: list[str], size: float | tuple[float, float] = 100.0, pad: float = 0.0,
               names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """Pairs of boxes that touch when both are grown by ``pad``; each pair once.
 
     A pair meets in every cell both touch and is kept in the cell of the lower corner of their
     common part, so no distinct is needed.
     """
+    size = size if isinstance(size, tuple) else (float(size), float(size))
     left = _box_cells(a, size, pad).select(F.struct(*a.columns).alias(names[0]), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_cx", "_cy")
     right = _box_cells(b, size, pad).select(F.struct(*b.columns).alias(names[1]), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_cx", "_cy")
     p, q = F.col(names[0]), F.col(names[1])
     touch = ((p["x1"] - pad <= q["x2"] + pad) & (q["x1"] - pad <= p["x2"] + pad) & (p["y1"] - pad <= q["y2"] + pad) & (q["y1"] - pad <= p["y2"] + pad))
-    home = (_cell(F.greatest(p["x1"], q["x1"]) - pad, size) == F.col("_cx")) & (_cell(F.greatest(p["y1"], q["y1"]) - pad, size) == F.col("_cy"))
+    home = (_cell(F.greatest(p["x1"], q["x1"]) - pad, size[0]) == F.col("_cx")) & (_cell(F.greatest(p["y1"], q["y1"]) - pad, size[1]) == F.col("_cy"))
     on = [f"_k{i}" for i in range(len(key))] + ["_cx", "_cy"]
     return left.join(right, on).filter(touch & home).select(*names)
 
@@ -85,7 +92,7 @@ def component_nets(detections: DataFrame, segments: DataFrame, key: list[str], t
                                                              F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
     points = ends.select(*key, "net_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct().withColumn(
         "_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
-    boxes = _box_cells(detections.select(*key, "comp_id", "x1", "y1", "x2", "y2"), size, tol)
+    boxes = _box_cells(detections.select(*key, "comp_id", "x1", "y1", "x2", "y2"), (size, size), tol)
     inside = F.col("x").between(F.col("x1") - tol, F.col("x2") + tol) & F.col("y").between(F.col("y1") - tol, F.col("y2") + tol)
     return points.join(boxes, [*key, "_cx", "_cy"]).filter(inside).select(*key, "comp_id", "net_id").distinct()
 

@@ -69,7 +69,7 @@ def profile_state(stream: DataFrame, threshold: int = 100) -> DataFrame:
 def retain_recent(df: DataFrame, keep: str = "24 hours") -> DataFrame:
     """Rows of the last ``keep`` before the newest row."""
     newest = df.agg(F.max("ts").alias("_newest")).withColumn("_g", F.lit(1))
-    return df.withColumn("_g", F.lit(1)).join(newest, "_g").filter(F.col("ts") > F.col("_newest") - F.expr(f"INTERVAL {keep}")).drop("_g", "_newest")
+    return df.withColumn("_g", F.lit(1)).join(F.broadcast(newest), "_g").filter(F.col("ts") > F.col("_newest") - F.expr(f"INTERVAL {keep}")).drop("_g", "_newest")
 
 
 def stream_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
