@@ -301,3 +301,16 @@ def test_hub_form_keeps_large_nets(spark):
     df = spark.createDataFrame([("gnd", f"c{i}") for i in range(30)] + [("n", "a"), ("n", "b")], "net string, component_id string")
     got = writers.net_clique_edges(df, 10).groupBy("form").count().collect()
     assert {r["form"]: r["count"] for r in got} == {"hub": 30, "pair": 1}
+
+
+def test_shortest_path_nodes_are_a_path(spark, net):
+    pairs, edges = net
+    ways = {frozenset(p) for p in pairs}
+    nodes = sorted({x for e in pairs for x in e})
+    asked = spark.createDataFrame([(a, b) for a in nodes[:4] for b in nodes if a != b], "source string, target string")
+    got = graph.shortest_paths(edges, asked, 7).collect()
+    assert got
+    for r in got:
+        assert r.path_nodes[0] == r.source and r.path_nodes[-1] == r.target
+        assert len(r.path_nodes) == len(r.path_relationships) + 1 == r.path_length + 1
+        assert all(frozenset(s) in ways for s in zip(r.path_nodes, r.path_nodes[1:]))

@@ -199,35 +199,59 @@ def shortest_paths(
 ) -> DataFrame:
     """One shortest undirected path per ``(source, target)`` pair; unreachable pairs give no row.
 
+    Searches from both ends meet in the middle, so each side only grows to half the depth.  Near
+    pairs are found with a small depth first; only the others are searched further.
     Returns ``source, target, path_length, path_nodes, path_relationships``.
     """
+    ways = both_ways(edges)
     wanted = cut(pairs.select("source", "target").distinct())
-    starts = wanted.select(F.col("source").alias("start"))
-    goal = wanted.select(F.col("source").alias("start"), "target")
-    seen = cut(bfs(both_ways(edges), starts, max_depth, goal))
-    ends = wanted.join(
-        seen.select(F.col("start").alias("source"), F.col("node").alias("target"), "depth", "parent", "rel_type"),
-        ["source", "target"],
+    out = None
+    for depth in sorted({min(d, max_depth) for d in (4, 8, max_depth)}):
+        found = _meet(ways, wanted, depth, with_nodes)
+        out = found if out is None else out.unionByName(found)
+        if depth < max_depth:
+            wanted = cut(wanted.join(found.select("source", "target"), ["source", "target"], "left_anti"))
+            if wanted.isEmpty():
+                break
+    return out
+
+
+def _meet(ways: DataFrame, wanted: DataFrame, max_depth: int, with_nodes: bool) -> DataFrame:
+    """Shortest paths of at most ``max_depth`` edges for the pairs that have one."""
+    half = (max_depth + 1) // 2
+    ahead = cut(bfs(ways, wanted.select(F.col("source").alias("start")), half))
+    back = cut(bfs(ways, wanted.select(F.col("target").alias("start")), max_depth - half))
+    meets = (
+        wanted.join(ahead.select(F.col("start").alias("source"), "node", F.col("depth").alias("_a")), "source")
+        .join(back.select(F.col("start").alias("target"), "node", F.col("depth").alias("_b")), ["target", "node"])
     )
+    best = cut(meets.groupBy("source", "target").agg(
+        F.min(F.struct((F.col("_a") + F.col("_b")).alias("n"), F.col("node"))).alias("m")
+    ).select("source", "target", F.col("m.n").alias("path_length"), F.col("m.node").alias("meet")))
     if not with_nodes:
-        return ends.select("source", "target", F.col("depth").alias("path_length"))
-    walk = cut(ends.select(
-        "source", "target", F.col("depth").alias("path_length"), F.col("parent").alias("at"),
-        F.array("target").alias("path_nodes"),
-        F.when(F.col("rel_type").isNull(), F.array().cast("array<string>"))
-        .otherwise(F.array("rel_type")).alias("path_relationships")))
-    links = seen.select(F.col("start").alias("source"), F.col("node").alias("at"),
-                        F.col("parent").alias("up"), F.col("rel_type").alias("up_type"))
-    for _ in range(max_depth):
+        return best.drop("meet")
+    none = F.array().cast("array<string>")
+    walk = best.withColumns({"at": F.col("meet"), "path_nodes": F.array("meet"), "path_relationships": none})
+    walk = _follow(walk, ahead, "source", half, lambda old, new: F.concat(new, old))
+    walk = walk.withColumn("at", F.col("meet"))
+    walk = _follow(walk, back, "target", max_depth - half, lambda old, new: F.concat(old, new))
+    return walk.select("source", "target", "path_length", "path_nodes", "path_relationships")
+
+
+def _follow(walk: DataFrame, tree: DataFrame, end: str, depth: int, join) -> DataFrame:
+    """Walk from ``at`` up the search tree of ``end``, adding nodes and edge types on the way."""
+    links = tree.filter(F.col("parent").isNotNull()).select(
+        F.col("start").alias(end), F.col("node").alias("at"), F.col("parent").alias("_up"), F.col("rel_type").alias("_type"))
+    for _ in range(depth):
+        step = walk.join(links, [end, "at"], "left")
+        found = F.col("_up").isNotNull()
+        walk = cut(step.withColumns({
+            "path_nodes": F.when(found, join(F.col("path_nodes"), F.array("_up"))).otherwise(F.col("path_nodes")),
+            "path_relationships": F.when(found, join(F.col("path_relationships"), F.array("_type"))).otherwise(F.col("path_relationships")),
+            "at": F.col("_up")}).drop("_up", "_type"))
         if walk.filter(F.col("at").isNotNull()).isEmpty():
             break
-        walk = cut(walk.join(links, ["source", "at"], "left").select(
-            "source", "target", "path_length", F.col("up").alias("at"),
-            F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path_nodes"))
-            .otherwise(F.col("path_nodes")).alias("path_nodes"),
-            F.when(F.col("up_type").isNotNull(), F.concat(F.array("up_type"), "path_relationships"))
-            .otherwise(F.col("path_relationships")).alias("path_relationships")))
-    return walk.select("source", "target", "path_length", "path_nodes", "path_relationships")
+    return walk
 
 
 def path_electrical(paths: DataFrame, current: float, per_edge: float = 0.1) -> DataFrame:
