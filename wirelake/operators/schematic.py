@@ -385,11 +385,6 @@ def ocr_disagreement(results: DataFrame, key: list[str], gap: float = 0.3) -> Da
     One row per ``key`` and engine (``engine, text, confidence``); engines are few, so the pairs
     of a region are bounded by the number of engines.
     """
-    # numbers alone tell which regions can differ; only those are listed
-    mark = F.xxhash64("text")
-    open_regions = results.groupBy(*key).agg((F.max("confidence") - F.min("confidence")).alias("_g"), F.min(mark).alias("_a"), F.max(mark).alias("_b")).filter(
-        (F.round("_g", 9) >= gap) & (F.col("_a") != F.col("_b"))).select(*key)
-    results = results.join(open_regions, key, "left_semi")
     one = results.groupBy(*key, "engine").agg(F.max_by(F.struct("text", "confidence"), F.struct("confidence", "text")).alias("r"))
     listed = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("engine", "r.text", "r.confidence"))).alias("e"))
     texts = F.transform("e", lambda x: x["text"])
