@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import mixing
+from wirelake.llm import mixing, packing, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
+from wirelake.llm.tokens import public_file
 from wirelake.session import cut
 
 
@@ -17,3 +18,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = mixing.word_count(F.col("text")).alias("size")
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size))
     return mixing.taken_words(rows).drop("row_id")
+
+
+@query("op3_neighbours")
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", k=5)
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"))
+
+
+@query("op9_vector_dedup")
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cosine=0.95)
