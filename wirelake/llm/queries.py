@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import mixing, packing, vectors
+from wirelake.llm import mixing, neardup, packing, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -33,3 +33,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_vector_dedup")
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cosine=0.95)
+
+
+@query("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
