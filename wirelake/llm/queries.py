@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import mixing, neardup, packing, vectors
+from wirelake.llm import mixing, neardup, packing, tokencount, toxicity, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -38,3 +38,15 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash")
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.toxic_documents(docs.select("doc_id", "text"), labels)
+    return found.select("doc_id", "severity", "grade", "toxic_chance", (F.col("toxic_chance") >= toxicity.REJECT).alias("toxic"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
