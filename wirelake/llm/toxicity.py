@@ -15,21 +15,34 @@ from pyspark.sql import functions as F
 from wirelake.llm.common import slices, words_of
 from wirelake.session import cut
 
-#: Hash buckets of the features; lengths of word beginnings that are features besides the word itself.
-BUCKETS, STEMS = 1 << 18, (4, 5, 6)
+#: Lengths of word beginnings that are features besides the word itself; texts of the sample that a feature needs.
+STEMS, LEAST_TEXTS = (4, 5, 6), 3
+#: Standard deviations by which a feature's share of graded texts must differ from the sample's to have a weight.
+TELLING = 4.0
 #: At most so many labelled rows are fitted on, so that the fit is a bounded task: a documented sample.
 FIT_ROWS = 20_000
 _TRIM = b".,;:!?\"'()[]{}|*&%$#<>-_/\\=+~`@^"
 
 
 class FeatureCache(dict):
-    """Feature numbers of a word; forgets all when it holds too many."""
+    """Features of a word: 64-bit hashes, or with ``known`` (sorted hashes) the places of those it has there.
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    Forgets all when it holds too many words.
+    """
+
+    def __init__(self, known: np.ndarray | None = None):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> list[int]:
         bare = word.strip(_TRIM)
         text = bare.decode("utf-8", "replace")
-        names = [b"w" + bare] + [b"s" + text[:n].encode() for n in STEMS if len(text) > n]
-        value = self[word] = tuple(xxhash.xxh3_64_intdigest(name) % BUCKETS for name in names) if bare else ()
+        names = [b"w" + bare] + [b"s" + text[:n].encode() for n in STEMS if len(text) > n] if bare else []
+        value = [xxhash.xxh3_64_intdigest(name) >> 1 for name in names]
+        if self.known is not None and value:
+            at = np.minimum(np.searchsorted(self.known, value), max(len(self.known) - 1, 0))
+            value = [int(i) for i, v in zip(at, value, strict=True) if len(self.known) and self.known[i] == v]
+        self[word] = value
         return value
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +55,12 @@ class FeatureCache(dict):
 
 @dataclass(frozen=True)
 class Severity:
-    """A fitted model: P(grade > k) = sigmoid(score - cut k), with one weight vector for all cuts."""
+    """A fitted model: P(grade > k) = sigmoid(score - cut k), with one weight vector for all cuts.
+
+    ``features`` are the sorted hashes that have a weight; no other feature counts.
+    """
 
+    features: np.ndarray
     weights: np.ndarray
     cuts: np.ndarray
 
@@ -57,7 +74,7 @@ def values_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.log(counts)
 
 
-def fit_ordinal(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Severity:
+def fit_ordinal(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Severity:
     """Maximum likelihood of the cumulative-link model by full-batch Adagrad steps.
 
     P(grade = k) is the difference of neighbouring sigmoids; the cuts are kept apart by construction:
@@ -65,11 +82,19 @@ def fit_ordinal(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarra
     """
     rows = np.repeat(np.arange(len(features)), [len(f) for f, _ in features])
     columns = np.concatenate([f for f, _ in features]) if features else np.zeros(0, np.int64)
-    used, column = np.unique(columns, return_inverse=True)
+    n = len(features)
+    used, column, texts = np.unique(columns, return_inverse=True, return_counts=True)
     value = np.concatenate([values_of(c) for _, c in features]) if features else np.zeros(0)
-    n, w = len(features), np.zeros(len(used))
-    share = np.array([max((grades > k).mean(), 1e-3) for k in range(levels - 1)])
-    first = np.log(1 / share - 1)
+    # features of very few texts, or as frequent in graded texts as in others, only add noise to long texts
+    share = (grades > 0).mean() if n else 0.0
+    graded = np.bincount(column, (grades > 0)[rows], len(used))
+    odd = np.abs(graded - texts * share) >= TELLING * np.sqrt(np.maximum(texts * share * (1 - share), 1e-9))
+    chosen = odd & (texts >= LEAST_TEXTS)
+    rows, value, column = rows[chosen[column]], value[chosen[column]], (np.cumsum(chosen) - 1)[column[chosen[column]]]
+    used = used[chosen]
+    w = np.zeros(len(used))
+    shares = np.array([max((grades > k).mean(), 1e-3) for k in range(levels - 1)])
+    first = np.log(1 / shares - 1)
     gaps = np.log(np.maximum(np.diff(first), 0.1))
     free = np.concatenate([first[:1], gaps])
     sum_w, sum_free = np.full(len(used), 1e-6), np.full(len(free), 1e-6)
@@ -91,9 +116,7 @@ def fit_ordinal(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarra
         sum_free += grad_free**2
         w -= rate * grad_w / np.sqrt(sum_w) * 0.3
         free -= rate * grad_free / np.sqrt(sum_free) * 0.3
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w
-    return Severity(weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
+    return Severity(used, w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
 
 def refine(features: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grave: int = 6) -> np.ndarray:
@@ -104,9 +127,10 @@ def refine(features: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, gra
     """
     columns = np.concatenate([f for f, _ in features]) if features else np.zeros(0, np.int64)
     bad = np.repeat(toxic, [len(f) for f, _ in features])
-    with_it, in_all = np.bincount(columns, bad, BUCKETS), np.bincount(columns, minlength=BUCKETS)
-    marks = (with_it >= 5) & (with_it >= 0.95 * in_all)
-    hits = np.array([c[marks[f]].sum() for f, c in features])
+    used, column, in_all = np.unique(columns, return_inverse=True, return_counts=True)
+    with_it = np.bincount(column, bad, len(used))
+    marks = used[(with_it >= 5) & (with_it >= 0.95 * in_all)]
+    hits = np.array([c[np.isin(f, marks, assume_unique=True)].sum() for f, c in features])
     return np.where(toxic > 0, np.where(hits >= grave, 2, 1), 0)
 
 
@@ -139,18 +163,18 @@ def fit(labelled: DataFrame, levels: int = 3, most: int = FIT_ROWS, refined: boo
         both = [(np.frombuffer(f, np.int64), np.frombuffer(c, np.int64)) for f, c in zip(frame["f"], frame["c"], strict=True)]
         grades = frame["grade"].to_numpy(np.int64)
         model = fit_ordinal(both, refine(both, grades) if refined else grades, levels)
-        return pd.DataFrame({"weights": [model.weights.tobytes()], "cuts": [model.cuts.tobytes()]})
+        return pd.DataFrame({"features": [model.features.tobytes()], "weights": [model.weights.tobytes()], "cuts": [model.cuts.tobytes()]})
 
-    found = held.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(fitted, "weights binary, cuts binary").first()
+    found = held.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(fitted, "features binary, weights binary, cuts binary").first()
     if found is None:
-        return Severity(np.zeros(BUCKETS, np.float32), np.arange(levels - 1, dtype=float) + 3)
-    return Severity(np.frombuffer(found["weights"], np.float32), np.frombuffer(found["cuts"], np.float64))
+        return Severity(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1, dtype=float) + 3)
+    return Severity(np.frombuffer(found["features"], np.int64), np.frombuffer(found["weights"]), np.frombuffer(found["cuts"]))
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``toxic_chance`` (of a grade above 0) and ``grade`` (most likely).
 
-    The model is a bounded array (one number per hash bucket) that is broadcast.  Whole texts are
+    The model is a bounded array (features of the bounded sample) that is broadcast.  Whole texts are
     read.  Null and empty texts have no features and score by the cuts alone.  All columns of ``docs``
     stay; result columns of the same name replace them.
     """
@@ -159,12 +183,13 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
 
     @F.pandas_udf("struct<severity double, toxic_chance double, grade int>")
     def grades(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache, held = FeatureCache(), shared.value
+        held = shared.value
+        cache = FeatureCache(held.features)
         for texts in parts:
             total = np.zeros(len(texts))
             for i, text in enumerate(texts):
                 f, c = cache.of(text)
-                total[i] = float(held.weights[f].astype(np.float64) @ values_of(c)) if len(f) else 0.0
+                total[i] = float(held.weights[f] @ values_of(c)) if len(f) else 0.0
             above = held.above(total)
             ends = np.concatenate([np.ones((len(total), 1)), above, np.zeros((len(total), 1))], axis=1)
             yield pd.DataFrame({"severity": above.sum(1), "toxic_chance": above[:, 0], "grade": (ends[:, :-1] - ends[:, 1:]).argmax(1).astype(np.int32)})
