@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import mixing, neardup, packing, tokencount, toxicity, vectors
+from wirelake.llm import mixing, neardup, ngrams, packing, tokencount, toxicity, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -50,3 +50,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
+
+
+@query("op6_language_model")
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.language_scores(table(spark, sf_dir, "documents"))

@@ -32,16 +32,15 @@ class FeatureCache(dict):
 
     def __init__(self, known: np.ndarray | None = None):
         super().__init__()
-        self.known = known
+        self.place = None if known is None else {int(h): i for i, h in enumerate(known)}
 
     def __missing__(self, word: bytes) -> list[int]:
         bare = word.strip(_TRIM)
         text = bare.decode("utf-8", "replace")
         names = [b"w" + bare] + [b"s" + text[:n].encode() for n in STEMS if len(text) > n] if bare else []
         value = [xxhash.xxh3_64_intdigest(name) >> 1 for name in names]
-        if self.known is not None and value:
-            at = np.minimum(np.searchsorted(self.known, value), max(len(self.known) - 1, 0))
-            value = [int(i) for i, v in zip(at, value, strict=True) if len(self.known) and self.known[i] == v]
+        if self.place is not None:
+            value = [self.place[v] for v in value if v in self.place]
         self[word] = value
         return value
 
@@ -74,7 +73,7 @@ def values_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.log(counts)
 
 
-def fit_ordinal(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Severity:
+def fit_ordinal(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Severity:
     """Maximum likelihood of the cumulative-link model by full-batch Adagrad steps.
 
     P(grade = k) is the difference of neighbouring sigmoids; the cuts are kept apart by construction:
@@ -205,7 +204,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 #: A document with at least this chance of a grade above 0 is toxic.
-REJECT = 0.5
+REJECT = 0.3
 
 
 def graded_labels(docs: DataFrame, labels: DataFrame, column: Column) -> DataFrame:
