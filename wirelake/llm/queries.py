@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import mixing, neardup, ngrams, packing, pii, tokencount, toxicity, vectors
+from wirelake.llm import lines, mixing, neardup, ngrams, packing, pii, tokencount, toxicity, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -61,3 +61,9 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.replace_entities(docs.select("doc_id", "text"), key=b"surrogates of the documents table")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.near_lines(docs.withColumn("row_id", F.monotonically_increasing_id())).drop("row_id")
