@@ -1,0 +1,452 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows, no rows and clashing columns."""
+
+import collections
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wirelake.llm import lines, mixing, neardup, ngrams, packing, pii, tokencount, toxicity, vectors
+from wirelake.llm.tokens import WordTokenizer, plain_ids, public_file
+
+DOCS = "doc_id long, text string, source string, lang string"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+BPE = public_file("word_bpe_49k.json")
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, s, "en") for i, t, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and blank texts, a long text, repeated rows, an id with two texts."""
+    rows = [(1, "one two three four five six seven", "a"), (2, None, "a"), (3, "", None), (4, " \t\n ", "b"), (5, LONG, "b"),
+            (5, LONG, "b"), (None, "one two three four five six seven", None), (None, None, None), (6, "short one", "a"), (6, "another text for the same id", "c")]
+    return docs_of(spark, rows)
+
+
+def clashing(df):
+    """The same table with columns named like those that operators use inside."""
+    for name in ("n", "size", "start", "row_id", "cid", "target", "key", "tile", "x", "id", "th", "first", "component", "severity", "grade", "spans", "_s", "keep"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+# ------------------------------------------------------------------ surrogates
+
+
+def test_surrogates(spark, odd):
+    text = "Ask Mrs. Anna Smith or Mr Smith (john.doe@mail.com, JOHN.DOE@mail.com) +1 (743) 555-3824 4111 1111 1111 1111 10.0.0.7"
+    base = docs_of(spark, [(7, text, "a"), (8, "4111111111111111 again; " + text, "a"), (9, "nothing here, Version 2.0", "a")])
+    out = pii.replace_entities(clashing(odd.unionByName(base)), b"k").collect()
+    got = {r["doc_id"]: r for r in out if r["doc_id"] in (7, 8, 9)}
+    assert len(out) == odd.count() + 3 and got[9]["text"] == "nothing here, Version 2.0" and got[9]["n_entities"] == 0
+    for secret in ("anna", "smith", "doe@mail", "555-3824", "4111", "10.0.0.7"):
+        assert secret not in got[7]["text"].lower() and secret not in got[8]["text"].lower()
+    by = [(s["kind"], s["surrogate"]) for s in got[7]["spans"]]
+    names = [x for k, x in by if k == "name"]
+    assert names[1] == names[2] and names[0].lower() in {n.lower() for n in pii.NAMES["f", "latin"]}
+    mails = [x for k, x in by if k == "email"]
+    assert mails[0] == mails[1].lower() and mails[1].split("@")[0].isupper() and mails[0].endswith(".com")
+    card = next(x for k, x in by if k == "card")
+    assert pii.luhn(card.replace(" ", "")) and [len(p) for p in card.split()] == [4] * 4
+    assert next(s["surrogate"] for s in got[8]["spans"] if s["kind"] == "card") == card.replace(" ", "")
+    assert all(r["text"] is None for r in out if r["doc_id"] == 2)
+
+
+def test_surrogates_do_not_collide(spark):
+    rows = [("ip", f"{i}.{j}.{k}.1", 0) for i in range(1, 10) for j in range(1, 10) for k in range(1, 10)] + [("name:f:latin", f"name{i}", 0) for i in range(60)]
+    table = spark.createDataFrame([(k, c) for k, c, _ in rows], "kind string, canonical string")
+    out = pii.resolve(table, b"k").collect()
+    assert len(out) == len(rows) == len({(r["kind"], r["surrogate"]) for r in out})
+    real = {(k, c) for k, c, _ in rows}
+    assert not any((r["kind"], r["surrogate"]) in real for r in out) and any(r["attempt"] for r in out)
+    again = pii.resolve(table.orderBy(F.desc("canonical")), b"k").collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in out}
+
+
+# ------------------------------------------------------------------ near-duplicates
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(rows, linked):
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if linked(rows[i], rows[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))]
+
+
+def plain_near(rows):
+    sets = [shingles(t) for _, t in rows]
+    at = brute_components(sets, lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b))
+    least = {}
+    for (i, _), r in zip(rows, at, strict=True):
+        least[r] = min(least.get(r, float("inf")), float("inf") if i is None else i)
+    return collections.Counter((i, len(s), None if least[r] == float("inf") else least[r]) for (i, _), s, r in zip(rows, sets, at, strict=True))
+
+
+def near_rows(seed, families, copies):
+    rng = np.random.default_rng(seed)
+    rows, n = [], 0
+    for f in range(families):
+        base = [f"f{f}w{i}" for i in range(int(rng.integers(6, 80)))]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(len(words)))] = f"new{rng.integers(1 << 30)}"
+            rows.append((n, " ".join(words)))
+            n += 1
+    return rows
+
+
+def test_near_duplicates(spark, odd):
+    rows = near_rows(2, 12, 14)
+    table = odd.unionByName(docs_of(spark, [(i + 100, t, "a") for i, t in rows]))
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(clashing(table)).collect())
+    assert got == plain_near([(r["doc_id"], r["text"]) for r in table.collect()])
+    kept = neardup.one_of_each(table).collect()
+    assert sum(r["doc_id"] == 5 for r in kept) == 1 and sum(not (r["text"] or "").split() for r in kept) == 4
+
+
+def test_near_duplicates_of_a_group_above_a_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = near_rows(5, 3, 60)
+    got = neardup.near_duplicates(docs_of(spark, [(i, t, "a") for i, t in rows])).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_near(rows)
+
+
+def test_sketch_fills_and_estimates():
+    rng = np.random.default_rng(0)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for n in (1, 2, 50, 1500):
+        s = neardup.sketch(pool[:n])
+        assert (s != neardup.EMPTY).all()
+    a, b = neardup.sketch(pool[:2000]), neardup.sketch(pool[500:2500])
+    assert abs((a == b).mean() - 0.6) < 0.15
+
+
+# ------------------------------------------------------------------ lines
+
+
+def plain_lines(rows):
+    found = []
+    for i, t in rows:
+        for n, raw in enumerate((t or "").split("\n")):
+            line = raw.strip(" ").lower()
+            if len(line) >= lines.LEAST:
+                found.append((i, n, line))
+    grams = [{x[k : k + 8] for k in range(len(x) - 7)} for _, _, x in found]
+    size = [len(x) - 7 for _, _, x in found]
+    at = brute_components(list(zip(grams, size, strict=True)), lambda a, b: 100 * len(a[0] & b[0]) >= 80 * len(a[0] | b[0]) and min(a[1], b[1]) >= 0.8 * max(a[1], b[1]))
+    order = lambda p: (p[0] is None, p[0] or 0, p[1])
+    first = {}
+    for (i, n, _), r in zip(found, at, strict=True):
+        first[r] = min(first.get(r, (i, n)), (i, n), key=order)
+    return collections.Counter((i, n, *first[r]) for (i, n, _), r in zip(found, at, strict=True))
+
+
+def test_near_lines(spark, odd):
+    rng = np.random.default_rng(3)
+    rows = []
+    for f in range(10):
+        base = "".join(chr(97 + int(c)) if c < 26 else " " for c in rng.integers(0, 30, int(rng.integers(60, 700))))
+        for k in range(6):
+            chars = list(base)
+            for _ in range(k % 3):
+                chars[int(rng.integers(10, len(chars) - 10))] = "#"
+            rows.append((100 + 10 * f + k, f"own line number {f} of the document {k * 7919}\n" + "".join(chars) + "\nend", "a"))
+    table = odd.unionByName(docs_of(spark, rows))
+    found = lines.near_lines(clashing(lines.numbered(table.drop("row_id")).select("doc_id", "text", F.col("row_id").alias("rid"))).withColumn("row_id", F.col("rid"))).collect()
+    want = plain_lines([(r["doc_id"], r["text"]) for r in table.collect()])
+    assert collections.Counter((r["doc_id"], r["line_no"], r["first_doc"], r["first_line"]) for r in found) == want
+    assert sum(r["kept"] for r in found) == len({(a, b) for _, _, a, b in want})
+    out = lines.without_near_lines(clashing(table)).collect()
+    by = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    assert len(out) == table.count() and by[2, None] == 1 and by[3, ""] == 1 and by[5, LONG] == 1 and by[5, ""] == 1
+
+
+# ------------------------------------------------------------------ language model
+
+
+def test_language_model(spark, odd):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"v{int(x)}" for x in rng.zipf(1.6, 40) % 60), "a") for i in range(60)]
+    table = odd.unionByName(docs_of(spark, rows))
+    texts = [(r["doc_id"], r["text"]) for r in table.collect()]
+    model = ngrams.train(table.filter(~ngrams.held_out(F.col("doc_id"))))
+    tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [tokens(t) for i, t in texts if not held(i)]
+    uni, pair = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
+    kinds = collections.Counter(w for _, w in pair)
+    d = lambda c, ds: ([0, *ds])[min(c, 3)]
+    dp = ngrams.discounts_of([sum(v == k for v in pair.values()) for k in (1, 2, 3, 4)])
+    dw = ngrams.discounts_of([sum(v == k for v in kinds.values()) for k in (1, 2, 3, 4)])
+    rest = sum(d(c, dw) for c in kinds.values()) / len(pair)
+    one = lambda w: (kinds[w] - d(kinds[w], dw)) / len(pair) + rest / (len(uni) + 1)
+
+    def chance(v, w):
+        own = {x: c for (a, x), c in pair.items() if a == v}
+        if not own:
+            return one(w)
+        total = sum(own.values())
+        return (own.get(w, 0) - d(own.get(w, 0), dp)) / total + sum(d(c, dp) for c in own.values()) / total * one(w)
+
+    assert abs(sum(chance(None, w) for w in uni) + chance(None, b"?") - 1) < 1e-9
+    assert model.tokens == sum(uni.values()) and model.words == len(uni)
+    got = ngrams.language_scores(clashing(table)).collect()
+    assert len(got) == len(texts)
+    small = [(i, t) for i, t in texts if t != LONG]
+    want = sorted((str(i), round(sum(np.log10(chance(v, w)) for v, w in zip([None, *tokens(t)[:-1]], tokens(t), strict=True)), 6)) for i, t in small)
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got if r["n_tokens"] < 20_000) == want
+    base = {r["doc_id"]: r for r in got}[100 if any(i == 100 for i, _ in texts) else 59]
+    ids = [w for w in tokens(dict(texts)[base["doc_id"]])]
+    assert abs(base["base_score"] - sum(np.log10((uni[w] + 1) / (model.tokens + model.words + 1)) for w in ids)) < 1e-9
+    assert base["n_known"] == sum(w in uni for w in ids)
+
+
+def test_mix_has_an_inverse():
+    x = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
+    from wirelake.llm.common import mix
+
+    assert (ngrams.unmix(mix(x)) == x).all() and (ngrams.unsqueeze(ngrams.squeeze(np.sort(x))) == np.sort(x)).all()
+
+
+# ------------------------------------------------------------------ toxicity
+
+
+def test_toxicity(spark, odd):
+    rng = np.random.default_rng(4)
+    word = lambda: f"plain{int(rng.integers(400))}"
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(int(rng.integers(5, 120)))]
+        if i % 4 == 0:
+            for _ in range(1 + i % 11):
+                words.insert(int(rng.integers(len(words))), ["nastyone,", "NASTYTWO", "nastythree."][int(rng.integers(3))])
+        rows.append((100 + i, " ".join(words), "a"))
+        if i % 2 == 0 or i % 3 == 0:
+            labels.append((100 + i, int(i % 4 == 0)))
+    labels += [(None, 1), (2, None), (9999, 1), (100, 1)]
+    table = odd.unionByName(docs_of(spark, rows))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxic_documents(clashing(table), known).collect()
+    assert len(got) == table.count()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None and r["doc_id"] >= 100}
+    wrong = [i for i in range(400) if (by[100 + i]["toxic_chance"] >= toxicity.REJECT) != (i % 4 == 0)]
+    assert len(wrong) <= 8
+    assert np.mean([by[100 + i]["severity"] for i in range(0, 400, 4) if i % 11 >= 6]) > np.mean([by[100 + i]["severity"] for i in range(0, 400, 4) if i % 11 < 3])
+    assert all(r["toxic_chance"] < toxicity.REJECT for r in got if r["doc_id"] in (2, 3, 4, 5))
+    none = toxicity.toxic_documents(table, known.limit(0)).collect()
+    assert all(r["grade"] == 0 for r in none)
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def plain_targets(sizes, weights, limit=3.0):
+    target, open_, left = {}, {s for s, n in sizes.items() if n}, float(sum(sizes.values()))
+    while open_:
+        total = sum(weights[s] for s in open_)
+        over = {s for s in open_ if left * weights[s] / total > limit * sizes[s] + 1e-9}
+        if not over:
+            target |= {s: left * weights[s] / total for s in open_}
+            break
+        for s in over:
+            target[s] = limit * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_mixing(spark, odd, block):
+    rng = np.random.default_rng(6)
+    rows = [(100 + i, "w " * int(rng.integers(0, 90)), ["a", "b", "zz", "only", None][int(rng.integers(0, 5)) if i % 9 else 0]) for i in range(300)]
+    table = odd.filter("doc_id is null or doc_id <> 5").unionByName(docs_of(spark, rows))
+    sized = table.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    out = mixing.taken_words(sized, block_tokens=block).collect()
+    sizes = collections.Counter()
+    for r in out:
+        sizes[r["source"]] += r["size"]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = plain_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(order)})
+    taken = collections.Counter()
+    for r in out:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want.get(r["source"], 0)) < 1e-6
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in want.items()) and len(out) == table.count()
+    assert sorted(map(str, out)) == sorted(map(str, mixing.taken_words(sized.orderBy(F.desc("size")), block_tokens=block).collect())) or block
+
+
+def test_schedule_is_even(spark):
+    targets = spark.createDataFrame([("a", 100, 1, 600.0), ("b", 100, 1, 300.0), ("c", 100, 1, 100.0)], "source string, source_size long, weight long, target double")
+    rows = sorted(mixing.schedule(targets, 10).collect())
+    assert [r["position"] for r in rows] == list(range(128))
+    for upto in (16, 32, 64, 128):
+        share = collections.Counter(r["source"] for r in rows[:upto])
+        assert all(abs(share[s] - upto * t) <= 3 for s, t in (("a", 0.6), ("b", 0.3), ("c", 0.1)))
+
+
+def test_mixed_texts(spark):
+    table = docs_of(spark, [(i, f"  head{i} two\tthree\n four five ", "a" if i % 5 else "b") for i in range(40)] + [(99, None, "a")])
+    out = mixing.mixed_texts(clashing(table)).collect()
+    whole = {r["doc_id"]: r["text"] for r in table.collect()}
+    words = collections.Counter()
+    for r in out:
+        assert r["text"] in whole[r["doc_id"]] and r["text"].split()
+        words[r["source"]] += len(r["text"].split())
+    assert sum(words.values()) in (198, 199, 200) and set(out[0].asDict()) == set(clashing(table).columns)
+
+
+# ------------------------------------------------------------------ packing and token counts
+
+
+def test_packing(spark, odd):
+    table = odd.unionByName(docs_of(spark, [(100 + i, "alpha, beta. gamma's 12 déjà-vu " * (1 + i * 7 % 50), "a") for i in range(120)]))
+    out = packing.pack_documents(clashing(table), BPE).collect()
+    want = collections.Counter()
+    for r in table.collect():
+        ids = [*plain_ids(BPE, r["text"]), 0]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want[r["doc_id"], n, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-sum(r["length"] for r in out) // 2048) + 3
+
+
+def test_word_tokenizer():
+    words = WordTokenizer(BPE, most=40)
+    texts = ["a b  c\x1cd  é é x́ ́y H̱ a", "it's  'S don't 12,5", "İstanbul ΑΣ ΑΣ. x\x85y 　z", "<|endoftext|> a..", "ab, c. d...,. é. é, x.\n", "", None, " ", "x" * 5000] * 3
+    assert [x.tolist() for x in words.encode(texts)] == [plain_ids(BPE, t) for t in texts]
+    assert [x.tolist() for x in words.encode(texts[:4])] == [plain_ids(BPE, t) for t in texts[:4]]
+
+
+def test_sum_of_squares_rule():
+    rng = np.random.default_rng(0)
+    bins, rooms = packing.OpenBins(20), {}
+    for size in rng.integers(1, 20, 300):
+        before = collections.Counter(r for r in rooms.values() if 0 < r < 20)
+        def cost(room):
+            after = before.copy()
+            if room < 20:
+                after[room] -= 1
+            after[room - size] += 0 < room - size < 20
+            return sum(v * v for v in after.values())
+        best = min(cost(room) for room in {20, *before} if room >= size)
+        chosen, offset = bins.place(int(size))
+        room = rooms.get(chosen, 20)
+        assert offset == 20 - room and cost(room) == best
+        rooms[chosen] = room - size
+
+
+def test_token_counts(spark, odd):
+    path = public_file("piece_bpe_32k.model")
+    pieces = tokencount.pieces_of(path)
+
+    def plain(word):
+        text, best = "▁" + word, [(0.0, 0)]
+        for at in range(1, len(text) + 1):
+            raw = len(text[at - 1].encode())
+            ways = [(best[at - 1][0] + pieces.byte * raw, -best[at - 1][1] - raw)]
+            ways += [(best[s][0] + pieces.score[text[s:at]], -best[s][1] - 1) for s in range(at) if text[s:at] in pieces.score]
+            top = max(ways)
+            best.append((top[0], -top[1]))
+        return best[-1][1]
+
+    table = odd.unionByName(docs_of(spark, [(100, "The tokenisation of unbelievable words, überraschend 漢字 and \U0001f600 again", "a")]))
+    cache = {}
+    want = collections.Counter()
+    for r in table.collect():
+        words = [w.decode() for w in (r["text"] or "").encode().split()]
+        want[r["doc_id"], len(words), sum(cache.setdefault(w, None) or cache.__setitem__(w, plain(w)) or cache[w] for w in words)] += 1
+    got = tokencount.token_counts(clashing(table), path, most=500).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in got) == want
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def vector_rows(spark, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(120)]
+    rows += [(200 + i, (np.array(rows[i % 5][1]) + 0.03 * rng.standard_normal(16) * (1 + i % 4)).tolist()) for i in range(60)]
+    rows += [(300, rows[3][1]), (301, rows[3][1]), (301, rows[3][1]), (None, rows[3][1]), (302, None), (303, [0.0] * 16), (304, [float("nan")] * 16), (305, [1.0, None] * 8), (306, [1.0, 2.0]), (350, [])]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def valid(x):
+    return bool(x) and all(v is not None and np.isfinite(v) for v in x) and any(x)
+
+
+def cosine(a, b):
+    if len(a) != len(b):
+        return -2.0
+    a, b = np.array(a), np.array(b)
+    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+
+
+def test_nearest(spark):
+    rows, table = vector_rows(spark)
+    got = vectors.nearest(clashing(table.withColumnRenamed("embedding", "e")), F.col("vec_id") % 50 == 0, "vec_id", "e", 5, query_block=2, block=40).collect()
+    good = [(i, x) for i, x in rows if i is not None and valid(x)]
+    for q, x in good:
+        if q % 50 == 0:
+            want = sorted(((-cosine(x, y), i) for i, y in good if i != q and len(x) == len(y)))[:5]
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+            assert [(i, s) for _, i, s in mine] == [(i, pytest.approx(-s, abs=1e-15)) for s, i in want] and [r for r, _, _ in mine] == [1, 2, 3, 4, 5]
+    assert {r["query_id"] for r in got} == {q for q, _ in good if q % 50 == 0}
+
+
+@pytest.mark.parametrize("most", [8, 1024])
+def test_near_vectors(spark, most):
+    rows, table = vector_rows(spark, 1)
+    got = vectors.near_vectors(clashing(table.withColumnRenamed("embedding", "e")), "vec_id", "e", 0.95, most=most).collect()
+    good = [(i, x) for i, x in rows if i is not None and valid(x)]
+    at = brute_components(good, lambda a, b: cosine(a[1], b[1]) >= 0.95)
+    least = {}
+    for (i, _), r in zip(good, at, strict=True):
+        least[r] = min(least.get(r, i), i)
+    want = collections.Counter()
+    for k, ((i, x), r) in enumerate(zip(good, at, strict=True)):
+        want[i, sum(cosine(x, y) >= 0.95 for j, (_, y) in enumerate(good) if j != k), least[r]] += 1
+    want.update((i, 0, i) for i, x in rows if i is None or not valid(x))
+    assert collections.Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+
+
+# ------------------------------------------------------------------ no rows
+
+
+def test_no_rows(spark, odd):
+    none, vecs = odd.limit(0), vector_rows(spark)[1].limit(0)
+    sized = none.select(F.lit(1).cast("bigint").alias("row_id"), "doc_id", "source", F.lit(0).alias("size"))
+    results = [pii.replace_entities(none), neardup.near_duplicates(none), neardup.one_of_each(none), lines.without_near_lines(none), ngrams.language_scores(none),
+               toxicity.toxic_documents(none, spark.createDataFrame([], "doc_id long, toxic int")), mixing.taken_words(sized), mixing.mixed_texts(none),
+               packing.pack_documents(none, BPE), tokencount.token_counts(none, public_file("piece_bpe_32k.model")),
+               vectors.nearest(vecs, F.col("vec_id") % 50 == 0, "vec_id", "embedding"), vectors.near_vectors(vecs, "vec_id", "embedding")]
+    assert [r.count() for r in results] == [0] * len(results)

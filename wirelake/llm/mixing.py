@@ -149,10 +149,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     passes = pieces.groupBy("row_id", "pass").agg(F.min("offset").alias("first"), F.sum("length").alias("words"))
     kept = passes.select(F.struct(F.col("row_id"), F.col("first"), F.col("words")).alias("__take"))
     joined = held.join(kept, F.col("__row_id") == F.col("__take.row_id"))
-    # the words before, then the words taken; what follows is dropped
-    shape = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("__take.first").cast("string"),
-                     F.lit(r"}((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("__take.words").cast("string"), F.lit("})"))
-    text = F.when(F.col("__take.words") == word_count(F.col("text")), F.col("text")).otherwise(F.regexp_extract("text", shape, 1))
+    # parts: each word with the white space after it, after a part of white space where the text begins with it
+    parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    before = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    run = F.array_join(F.slice(parts, (F.col("__take.first") + before + 1).cast("int"), F.col("__take.words").cast("int")), "")
+    text = F.when(F.col("__take.words") == word_count(F.col("text")), F.col("text")).otherwise(run)
     return joined.withColumn("text", text).select(*docs.columns)
 
 

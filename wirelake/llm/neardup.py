@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.llm.common import components, mix, slices, words_of
@@ -209,8 +209,8 @@ def _in_tiles(members: DataFrame, group: str) -> DataFrame:
     return spread.select(group, (low * F.col("blocks") + high).cast("bigint").alias("tile"), side.alias("side"), "cid")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
+def near_duplicates(docs: DataFrame, percent: int = 75, with_hash: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` (and ``th``, the text's hash, on request) for every row of ``docs`` (``doc_id``, ``text``).
 
     1. Each whole text becomes its set of shingles (words in ASCII lower case), a fast similarity
        sketch and band keys.  Rows with equal sets form a class; from here on classes are compared.
@@ -286,4 +286,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     linked = signed.filter("n > 0").join(answer, ["f1", "f2", "n"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     every = linked.unionByName(alone)
-    return every.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return every.select("doc_id", "n_shingles", "component_id", kept, *(["th"] if with_hash else []))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` in its own columns with one row of each group of near-duplicates: that of the smallest ``doc_id``.
+
+    Texts without words all stay.  Of rows that repeat both ``doc_id`` and a non-empty text one stays.
+    """
+    found = near_duplicates(docs, percent, with_hash=True).filter("kept")
+    stay = found.groupBy("doc_id", "th").agg(F.max("n_shingles").alias("n"))
+    stay = stay.select(F.xxhash64("doc_id", "th").alias("__k"), F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("n").alias("__n"))
+    th = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.withColumn("__th", th).withColumn("__key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("__th")))
+    same = (F.col("__key") == F.col("__k")) & (F.col("__th") == F.col("__h")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+    again = Window.partitionBy("__key", "__th", "doc_id").orderBy(F.lit(1))
+    return keyed.join(stay, same).withColumn("__rn", F.row_number().over(again)).filter("__n = 0 OR __rn = 1").select(*docs.columns)

@@ -42,9 +42,9 @@ PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)(?:\s*[=:]\s*)[\"']?(?P<secret>[A-Za-z0-9+/_-]{8,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])",
     "name": rf"(?<!\w)(?P<title>{_TITLE})\.?[ \u00a0](?P<name>[^\W\d_]+(?:[-'’ ][^\W\d_]+){{0,2}})",
 }
 FINDER = re.compile("|".join(f"(?P<{kind}_>{pattern})" for kind, pattern in PATTERNS.items()))

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from wirelake.session import cut
 STEMS, LEAST_TEXTS = (4, 5, 6), 3
 #: Standard deviations by which a feature's share of graded texts must differ from the sample's to have a weight.
 TELLING = 4.0
+#: Buckets in which features are first counted.
+FIRST = 1 << 22
 #: At most so many labelled rows are fitted on, so that the fit is a bounded task: a documented sample.
 FIT_ROWS = 20_000
 _TRIM = b".,;:!?\"'()[]{}|*&%$#<>-_/\\=+~`@^"
@@ -46,7 +50,7 @@ class FeatureCache(dict):
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct features of a whole text, and how often each occurs."""
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         found = [f for word in words_of(text) for f in self[word]]
         return np.unique(np.array(found, np.int64), return_counts=True)
@@ -136,26 +140,52 @@ def refine(features: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, gra
 def fit(labelled: DataFrame, levels: int = 3, most: int = FIT_ROWS, refined: bool = False) -> Severity:
     """Fit on up to ``most`` labelled rows ``doc_id, text, grade`` (0 .. ``levels`` - 1), drawn by a keyed hash of the id.
 
-    The rows become features in parallel; the fit is one task over the bounded sample.
+    The rows become features in parallel.  Counts of hashed features first tell which can matter, so the
+    one task that fits the model holds a few features of each row of the bounded sample.
     With ``refined`` the given grades are 0 and 1 and toxic texts are graded further by ``refine``.
     Rows with a null grade are not used.  Without any labelled row all scores are 0.
     """
-    rows = labelled.filter(F.col("grade").isNotNull()).select("text", F.col("grade").cast("int").alias("grade"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
-    total = rows.count()
-    # a hash threshold first, so the limit sorts little more than the sample
-    if total > most:
-        share = min(1.0, 1.2 * most / total + 0.001)
-        rows = rows.filter(F.pmod(F.col("h"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = rows.orderBy("h").limit(most)
+    known = labelled.filter(F.col("grade").isNotNull())
+    rows = known.select("text", F.col("grade").cast("int").alias("grade"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
+    # the bound is found on the hashes alone; no text is sorted
+    last = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return Severity(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1, dtype=float) + 3)
+    sample = cut(rows.filter(F.col("h") <= last).select("text", "grade").repartition(16))
+
+    def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, texts, graded, size = FeatureCache(), np.zeros(FIRST, np.int32), np.zeros(FIRST, np.int32), [0, 0]
+        for batch in slices(batches, 500):
+            for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.unique(cache.of(text)[0] % FIRST)
+                texts[at] += 1
+                graded[at] += grade > 0
+                size = [size[0] + 1, size[1] + (grade > 0)]
+        packed = [zstandard.compress(x.tobytes(), 1) for x in (texts, graded)]
+        yield pa.RecordBatch.from_arrays([pa.array([0]), *[pa.array([x]) for x in size], *[pa.array([x], pa.binary()) for x in packed]], ["all", "n", "m", "texts", "graded"])
+
+    def telling(held: pa.Table) -> pa.Table:
+        sums = [np.zeros(FIRST, np.int64), np.zeros(FIRST, np.int64)]
+        for total, name in zip(sums, ("texts", "graded"), strict=True):
+            for part in held.column(name):
+                total += np.frombuffer(zstandard.decompress(part.as_py()), np.int32)
+        share = pc.sum(held.column("m")).as_py() / max(pc.sum(held.column("n")).as_py(), 1)
+        odd = np.abs(sums[1] - sums[0] * share) >= TELLING / 2 * np.sqrt(np.maximum(sums[0] * share * (1 - share), 1e-9))
+        chosen = np.flatnonzero(odd & (sums[0] >= LEAST_TEXTS)).astype(np.int32)
+        return pa.table({"buckets": pa.array([zstandard.compress(chosen.tobytes())], pa.binary())})
+
+    counted = sample.mapInArrow(bucket_counts, "all bigint, n bigint, m bigint, texts binary, graded binary")
+    chosen = np.zeros(FIRST, bool)
+    chosen[np.frombuffer(zstandard.decompress(counted.groupBy("all").applyInArrow(telling, "buckets binary").first()[0]), np.int32)] = True
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = FeatureCache()
         for batch in slices(batches, 500):
-            both = [cache.of(t) for t in batch.column(0).to_pylist()]
+            both = [(f[chosen[f % FIRST]], c[chosen[f % FIRST]]) for f, c in map(cache.of, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([f.tobytes() for f, _ in both], pa.binary()), pa.array([c.tobytes() for _, c in both], pa.binary())], ["grade", "f", "c"])
 
-    held = cut(sample.select("text", "grade").repartition(8).mapInArrow(features, "grade int, f binary, c binary"))
+    held = cut(sample.mapInArrow(features, "grade int, f binary, c binary"))
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["grade", "f"], ignore_index=True)
@@ -165,8 +195,6 @@ def fit(labelled: DataFrame, levels: int = 3, most: int = FIT_ROWS, refined: boo
         return pd.DataFrame({"features": [model.features.tobytes()], "weights": [model.weights.tobytes()], "cuts": [model.cuts.tobytes()]})
 
     found = held.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(fitted, "features binary, weights binary, cuts binary").first()
-    if found is None:
-        return Severity(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1, dtype=float) + 3)
     return Severity(np.frombuffer(found["features"], np.int64), np.frombuffer(found["weights"]), np.frombuffer(found["cuts"]))
 
 
@@ -210,4 +238,4 @@ REJECT = 0.3
 def graded_labels(docs: DataFrame, labels: DataFrame, column: Column) -> DataFrame:
     """``doc_id, text, grade``: one row per labelled document; of several labels the gravest counts."""
     best = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(column).alias("grade"))
-    return docs.join(best, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "grade")
+    return docs.select("doc_id", "text").join(best, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "grade")
