@@ -208,7 +208,7 @@ def bio_labels(text: Column, patterns: list[tuple[str, str]] = BIO_PATTERNS) ->
 
 def label_confidence(labels: Column) -> Column:
     found = F.filter(labels, lambda x: x != "O")
-    kinds = F.array_distinct(F.transform(found, lambda x: F.substring(x, 3, 40)))
+    kinds = F.array_distinct(F.transform(found, lambda x: F.substr(x, F.lit(3))))
     return F.when(F.size(found) == 0, 0.5).otherwise(F.least(F.lit(1.0), (F.size(kinds) / 4.0 + F.size(found) / F.nullif(F.size(labels), F.lit(0))) / 2))
 
 
@@ -224,7 +224,7 @@ def contrastive_pairs(readings: DataFrame, key: list[str], high: float = 0.8, ga
     one = readings.groupBy(*key, "engine").agg(F.max_by(F.struct("text", F.round("confidence", 9).alias("confidence")), F.struct("confidence", "text")).alias("r"))
     listed = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("engine", "r.text", "r.confidence"))).alias("e")).filter(F.size("e") >= 2)
     sure = F.filter("e", lambda x: x["confidence"] > high)
-    steps = F.transform(F.slice(sure, 2, 1000), lambda x, i: F.struct(F.get(sure, i)["text"].alias("a"), x["text"].alias("b")))
+    steps = F.transform(F.slice(sure, F.lit(2), F.greatest(F.size(sure), F.lit(1))), lambda x, i: F.struct(F.get(sure, i)["text"].alias("a"), x["text"].alias("b")))
     positive = listed.select(*key, F.explode(steps).alias("p")).select(*key, "p.*")
     top, low = F.max_by("r.text", F.struct("r.confidence", "engine")), F.min_by("r.text", F.struct("r.confidence", "engine"))
     negative = one.groupBy(*key).agg(top.alias("a"), low.alias("b"), F.round(F.max("r.confidence") - F.min("r.confidence"), 9).alias("gap")).filter(F.col("gap") > gap)

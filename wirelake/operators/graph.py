@@ -8,6 +8,8 @@ and pairs advance in the same round.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,10 +161,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
 
 def bfs(
-    edges: DataFrame, starts: DataFrame, max_depth: int, targets: DataFrame | None = None
+    edges: DataFrame, starts: DataFrame, max_depth: int | None, targets: DataFrame | None = None
 ) -> DataFrame:
     """Breadth-first levels ``(start, node, depth, parent, rel_type)``; the start has depth 0.
 
+    Levels go on until nothing new is reached where ``max_depth`` is None.
     Among equal-length ways the smallest ``(parent, rel_type)`` is kept.  With ``targets``
     ``(start, target)`` a start stops growing once all its targets are reached.
     """
@@ -174,7 +177,7 @@ def bfs(
             F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("rel_type"))
     )
     seen = level
-    for step in range(1, max_depth + 1):
+    for step in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         if targets is not None:
             missing = targets.join(
                 seen.select("start", F.col("node").alias("target")), ["start", "target"], "left_anti"
@@ -478,10 +481,11 @@ def path_histogram(edges: DataFrame, components: DataFrame, depth: int = 5) -> D
         "vehicle_signature", F.col("length").alias("path_length")).agg(F.sum("paths").alias("path_count"))
 
 
-def control_chains(controls: DataFrame, cap: int = 10, delay: str | None = None) -> DataFrame:
+def control_chains(controls: DataFrame, delay: str | None = None) -> DataFrame:
     """Maximal control chains: from a controller nobody controls to a node that controls nothing.
 
-    ``response_time`` sums the delay column (1.0 per step where there is none).
+    ``response_time`` sums the delay column (1.0 per step where there is none).  Chains have any
+    length; no node occurs twice in one, so the rounds end.
     """
     cost = F.coalesce(F.col(delay), F.lit(0.0)) if delay else F.lit(1.0)
     steps = cut(controls.groupBy("src", "dst").agg(F.min(cost).alias("w")))
@@ -491,7 +495,7 @@ def control_chains(controls: DataFrame, cap: int = 10, delay: str | None = None)
                          F.array("src").alias("sequence"), F.lit(0.0).alias("response_time"))
     ends = steps.select(F.col("src").alias("node")).distinct()
     out = None
-    for step in range(1, cap + 1):
+    for step in itertools.count(1):
         level = cut(
             level.join(steps.withColumnRenamed("src", "node"), "node")
             .filter(~F.array_contains("sequence", F.col("dst")))
@@ -508,7 +512,7 @@ def control_chains(controls: DataFrame, cap: int = 10, delay: str | None = None)
         "initiator", F.col("node").alias("final"), "sequence", "response_time", F.lit(0).alias("complexity"))
 
 
-def hierarchy_depth(edges: DataFrame, max_depth: int = 30) -> DataFrame:
+def hierarchy_depth(edges: DataFrame) -> DataFrame:
     """Per root (a node nothing points from): deepest level and number of nodes below it.
 
     Edges point from child to parent.
@@ -516,7 +520,7 @@ def hierarchy_depth(edges: DataFrame, max_depth: int = 30) -> DataFrame:
     down = reversed_edges(edges)
     roots = edges.select(F.col("dst").alias("start")).distinct().join(
         edges.select(F.col("src").alias("start")).distinct(), "start", "left_anti")
-    levels = bfs(down, roots, max_depth)
+    levels = bfs(down, roots, None)
     return levels.groupBy(F.col("start").alias("root")).agg(
         F.max("depth").alias("depth"), (F.count(F.lit(1)) - 1).alias("descendants"))
 

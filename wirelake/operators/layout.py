@@ -70,7 +70,7 @@ def layout_fitness(placed: DataFrame, edges: DataFrame, workspace: tuple[float,
     size = placed.groupBy(L).agg(n().alias("parts"))
     # a full score needs a gap of 100 * access, so only parts within that gap and both sizes matter
     largest = placed.agg(F.max(F.greatest("dx", "dy", "dz")), F.max("access"), F.max(_norm("dx", "dy", "dz"))).first()
-    hit = collisions(placed.select(L, "id", "x", "y", "z", "dx", "dy", "dz"), [L], float(largest[0])).groupBy(L).agg(n().alias("collisions"))
+    hit = collisions(placed.select(L, "id", "x", "y", "z", "dx", "dy", "dz"), [L]).groupBy(L).agg(n().alias("collisions"))
     wires = wire_lengths(placed, edges).groupBy(L).agg(F.sum("length").alias("wire"))
     boxes = placed.select(L, "id", "x", "y", "z", _norm("dx", "dy", "dz").alias("size"))
     near = near_pairs(boxes, boxes, float(100 * largest[1] + largest[2]), [L], "xyz").filter(F.col("a.id") != F.col("b.id"))

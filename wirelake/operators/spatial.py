@@ -149,13 +149,14 @@ def spatial_clusters(components: DataFrame, r: float = 300.0, min_size: int = 2)
         "density", F.when(volume > 0, F.col("size") / volume).otherwise(0.0))
 
 
-def overlap_check(new: DataFrame, placed: DataFrame, clearance: float = 50.0, max_size: float = 240.0) -> DataFrame:
+def overlap_check(new: DataFrame, placed: DataFrame, clearance: float = 50.0) -> DataFrame:
     """Nearest placed component that is closer than half of both sizes plus the clearance.
 
-    ``size`` is at most ``max_size``; this bounds the search radius.
+    The largest size in the data gives the search radius.
     """
     columns = ["id", TENANT, "x", "y", "z", "size"]
-    pairs = near_pairs(new.select(*columns), placed.select(*columns), max_size + clearance, [TENANT], "xyz")
+    largest = new.select("size").unionByName(placed.select("size")).agg(F.max("size")).first()[0] or 0.0
+    pairs = near_pairs(new.select(*columns), placed.select(*columns), float(largest) + clearance, [TENANT], "xyz")
     need = (F.col("a.size") + F.col("b.size")) / 2 + clearance
     hits = pairs.filter((F.col("a.id") != F.col("b.id")) & (F.col("distance") < need))
     best = hits.groupBy(F.col("a.id").alias("id")).agg(
@@ -164,8 +165,9 @@ def overlap_check(new: DataFrame, placed: DataFrame, clearance: float = 50.0, ma
     return best.select("id", "m.conflict_id", "m.distance", "conflicts")
 
 
-def collisions(boxes: DataFrame, key: list[str], size: float) -> DataFrame:
-    """Pairs of 3-D boxes (centre ``x,y,z``, extents ``dx,dy,dz`` of at most ``size``) that touch."""
+def collisions(boxes: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of 3-D boxes (centre ``x,y,z``, extents ``dx,dy,dz``) that touch; the largest extent gives the grid."""
+    size = float(boxes.agg(F.max(F.greatest("dx", "dy", "dz"))).first()[0] or 0.0) or 1.0
     cells = boxes
     for a in "xyz":
         cells = cells.withColumn(f"_c{a}", _cell(F.col(a), size))

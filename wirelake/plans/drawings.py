@@ -77,7 +77,7 @@ def _(t):
     return g.groupBy("doc_id", "group").agg(F.count(F.lit(1)).alias("members"))
 
 
-@query("d02_fuse_confidence", f"""WITH RECURSIVE {_groups('confidence >= 0.5')} SELECT doc_id, members, s.text AS text, s.engine AS engine, s.confidence AS confidence, s.x1 AS x1 FROM (SELECT doc_id, grp, count(*) AS members, max_by(g, (confidence, engine, text)) AS s FROM g GROUP BY 1,2) q""", "text_spans")
+@query("d02_fuse_confidence", f"""WITH RECURSIVE {_groups('confidence >= 0.5')} SELECT doc_id, members, s.text AS text, s.engine AS engine, s.confidence AS confidence, s.x1 AS x1 FROM (SELECT doc_id, grp, count(*) AS members, max_by(g, (confidence, engine, text, x1, y1, x2, y2)) AS s FROM g GROUP BY 1,2) q""", "text_spans")
 def _(t):
     return op.fuse_confidence(spans(t), KEY).select("doc_id", "members", "text", "engine", "confidence", "x1")
 
@@ -248,7 +248,7 @@ def _(t):
 WHERE abs(a.x-b.x)<=(a.d+b.d)/2 AND abs(a.y-b.y)<=(a.d+b.d)/2 AND abs(a.z-b.z)<=(a.d+b.d)/2""", "components")
 def _(t):
     c = t.components.filter("x IS NOT NULL").withColumn("d", F.expr(SIZE).cast("double"))
-    return spatial.collisions(c.select("id", "vehicle_signature", "x", "y", "z", *[F.col("d").alias(f"d{a}") for a in "xyz"]), ["vehicle_signature"], 240.0)
+    return spatial.collisions(c.select("id", "vehicle_signature", "x", "y", "z", *[F.col("d").alias(f"d{a}") for a in "xyz"]), ["vehicle_signature"])
 
 
 @query("x09_scene_dataset", """SELECT vehicle_signature, 'component' AS kind, id, x, y, z, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2, NULL::DOUBLE AS z2 FROM components WHERE x IS NOT NULL

@@ -190,10 +190,10 @@ def _(t):
     return posts.pages_to_posts(t.pages).select("page_id", (F.length("title") > 0).alias("has_title"), "link")
 
 
-@query("s22_submissions_to_posts", "SELECT doc_id AS id, CASE WHEN lang='en' THEN source ELSE trim(text)[1:80] END AS title, make_timestamp(n_chars*1000000) AS created_at FROM documents WHERE trim(text)<>''")
+@query("s22_submissions_to_posts", "SELECT doc_id AS id, CASE WHEN lang='en' THEN source END AS title, trim(text) AS content, CAST(NULL AS VARCHAR) AS author, make_timestamp(n_chars*1000000) AS created_at FROM documents WHERE trim(text)<>''")
 def _(t):
     d = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", F.col("source")).otherwise(" ").alias("title"), F.col("text").alias("selftext"), F.lit(None).cast("string").alias("author"), F.col("n_chars").alias("created_utc"))
-    return posts.submissions_to_posts(d).select("id", "title", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    return posts.submissions_to_posts(d).select("id", "title", "content", "author", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 @query("s23_transcripts", "SELECT conv_id AS video_id, md5(string_agg(text, ' ' ORDER BY turn)) AS h, count(*) AS captions FROM conversations GROUP BY 1")

@@ -90,13 +90,13 @@ def _(t):
     return all_relationships(t.components, t.edges, ["CONNECTS_TO", "POWERED_BY"])
 
 
-@query("g14_control_chains", """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM controls), c AS (SELECT src AS initiator, dst AS node, [src, dst] AS seq, 1 AS n FROM s WHERE src NOT IN (SELECT dst FROM s) UNION ALL SELECT c.initiator, s.dst, list_append(c.seq, s.dst), c.n+1 FROM c JOIN s ON s.src=c.node WHERE c.n<10 AND NOT list_contains(c.seq, s.dst))
+@query("g14_control_chains", """WITH RECURSIVE s AS (SELECT DISTINCT src, dst FROM controls), c AS (SELECT src AS initiator, dst AS node, [src, dst] AS seq, 1 AS n FROM s WHERE src NOT IN (SELECT dst FROM s) UNION ALL SELECT c.initiator, s.dst, list_append(c.seq, s.dst), c.n+1 FROM c JOIN s ON s.src=c.node WHERE NOT list_contains(c.seq, s.dst))
 SELECT initiator, node AS final, array_to_string(seq,'>') AS sequence, n::DOUBLE AS response_time, n::INTEGER AS complexity FROM c WHERE node NOT IN (SELECT src FROM s)""", "controls")
 def _(t):
     return graph.control_chains(t.controls).withColumn("sequence", F.array_join("sequence", ">"))
 
 
-@query("g15_hierarchy_depth", """WITH RECURSIVE h AS (SELECT DISTINCT dst AS root, dst AS node, 0 AS d FROM powered_by WHERE dst NOT IN (SELECT src FROM powered_by) UNION SELECT h.root, p.src, h.d+1 FROM h JOIN powered_by p ON p.dst=h.node WHERE h.d<30) SELECT root, CAST(max(d) AS INTEGER) AS depth, count(DISTINCT node)-1 AS descendants FROM h GROUP BY 1""", "powered_by")
+@query("g15_hierarchy_depth", """WITH RECURSIVE h AS (SELECT DISTINCT dst AS root, dst AS node, 0 AS d FROM powered_by WHERE dst NOT IN (SELECT src FROM powered_by) UNION SELECT h.root, p.src, h.d+1 FROM h JOIN powered_by p ON p.dst=h.node) SELECT root, CAST(max(d) AS INTEGER) AS depth, count(DISTINCT node)-1 AS descendants FROM h GROUP BY 1""", "powered_by")
 def _(t):
     return graph.hierarchy_depth(t.powered_by)
 

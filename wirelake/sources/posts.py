@@ -40,10 +40,10 @@ def pages_to_posts(pages: DataFrame, title: str = "h1", content: str = "article"
 
 
 def submissions_to_posts(df: DataFrame) -> DataFrame:
-    """``id, title, selftext, author, created_utc`` -> posts with text; no title becomes the first words."""
-    body = F.nullif(F.trim("selftext"), F.lit(""))
-    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.substring(body, 1, 80))
-    return df.filter(body.isNotNull()).select("id", title.alias("title"), body.alias("content"), F.coalesce("author", F.lit("[deleted]")).alias("author"), F.timestamp_seconds("created_utc").alias("created_at"),
+    """``id, title, selftext, author, created_utc`` -> posts; a post without a body has its title as content, a missing author stays null."""
+    title = F.nullif(F.trim("title"), F.lit(""))
+    body = F.coalesce(F.nullif(F.trim("selftext"), F.lit("")), title)
+    return df.filter(body.isNotNull()).select("id", title.alias("title"), body.alias("content"), "author", F.timestamp_seconds("created_utc").alias("created_at"),
                                               tx.extract_vehicle(F.concat_ws(" ", title, body)).alias("vehicle"))
 
 
