@@ -87,7 +87,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that the join below has two plain sides and a hub's rows can be split over tasks
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
