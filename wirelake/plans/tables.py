@@ -56,12 +56,12 @@ FROM supplier""",
     ),
     "part_of": (
         ("lineitem",),
-        """SELECT concat('P', l_partkey) AS src, concat('C', l_suppkey) AS dst, concat('V', l_partkey % 5) AS vehicle_signature,
+        # a circuit of the part's own tenant: the supplier of that tenant in the block of five
+        """SELECT concat('P', l_partkey) AS src, concat('C', l_suppkey - l_suppkey % 5 + l_partkey % 5) AS dst, concat('V', l_partkey % 5) AS vehicle_signature,
        CASE min(l_returnflag) WHEN 'A' THEN 'load' WHEN 'N' THEN 'control' ELSE 'protection' END AS role,
        min(l_linestatus) = 'F' AS is_critical
 FROM lineitem
-WHERE l_partkey % 5 = l_suppkey % 5
-GROUP BY l_partkey, l_suppkey""",
+GROUP BY l_partkey, l_suppkey - l_suppkey % 5""",
     ),
     "connects_to": (
         ("lineitem",),
@@ -69,8 +69,7 @@ GROUP BY l_partkey, l_suppkey""",
 FROM (SELECT l_partkey,
              lag(l_partkey) OVER (PARTITION BY l_orderkey, l_partkey % 5
                                   ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS prev
-      FROM lineitem
-      WHERE l_quantity >= 30) t
+      FROM lineitem) t
 WHERE prev IS NOT NULL AND prev <> l_partkey""",
     ),
     "powered_by": (
