@@ -6,8 +6,9 @@ import hashlib
 import os
 import re
 import string
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,11 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "go", "la", "me", "ni", "ro", "sa", "ti
 ENDINGS = {("f", "latin"): "a", ("m", "latin"): "o", ("f", "cyrillic"): "а", ("m", "cyrillic"): "ов", ("", "latin"): "er", ("", "cyrillic"): "ен"}
 
 _TITLE = "|".join(re.escape(t) for g in ("f", "m") for t in sorted(TITLES[g], key=len, reverse=True))
+_UPPER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper())
+#: A word of a name, with combining marks; an initial keeps its dot outside.
+_WORD = rf"[{_UPPER}](?:[^\W\d_]|[\u0300-\u036f])*"
+#: Lower-case words that can stand before a word of a name; they are no names themselves and stay.
+_PARTICLE = r"(?:(?:von und zu|(?:van|von)(?: (?:der|den|dem|de))?|de(?: (?:la|las|los))?|del|della|di|da|dos|du|ter|y|af|av|bin|bint|ibn)[ \u00a0]|d['’]|de l['’]|al-)"
 #: Kinds in order of precedence: an earlier kind wins where two begin at the same place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -45,13 +51,20 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])",
-    "name": rf"(?<!\w)(?P<title>{_TITLE})\.?[ \u00a0](?P<name>[^\W\d_]+(?:[-'’ ][^\W\d_]+){{0,2}})",
 }
+#: What ends a name although a capital begins it: another kind, or the next title.
+_OTHER = rf"{PATTERNS['email']}|{PATTERNS['access_key']}|{PATTERNS['iban']}|(?i:(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:])"
+_NEXT = rf"(?:(?<=\b[{_UPPER}])\.[ \u00a0]?|[ \u00a0]|[-'’]){_PARTICLE}?(?!{_OTHER}|(?:{_TITLE})\.?[ \u00a0]){_WORD}"
+PATTERNS["name"] = rf"(?<!\w)(?P<title>{_TITLE})\.?[ \u00a0](?P<name>{_PARTICLE}?(?!{_OTHER}){_WORD}(?:{_NEXT})*)"
 FINDER = re.compile("|".join(f"(?P<{kind}_>{pattern})" for kind, pattern in PATTERNS.items()))
 #: What a text needs to hold anything, whatever the kind: texts without are passed by on these cheap tests.
 HINT = re.compile(rf"@|\d{{3}}|\+\d|\d\.\d+\.\d|AKIA|ASIA|[A-Z]{{2}}[0-9]{{2}}|(?:{_TITLE})\.?[ \u00a0]|(?i:password|passwd|pwd|token|secret|api[_-]?key)")
 
 
+#: A whole word, which can be a later mention of a name.
+MENTION = re.compile(rf"(?<![\w\u0300-\u036f]){_WORD}(?![\w\u0300-\u036f])")
+
+
 @dataclass(frozen=True)
 class Entity:
     kind: str
@@ -70,10 +83,14 @@ def script_of(word: str) -> str:
 
 
 def entities(text: str | None) -> list[Entity]:
-    """Entities of a whole text in order, without overlaps."""
+    """Entities of a whole text in order, without overlaps.
+
+    Names are told by a title.  Their words count as the same names wherever the text repeats them as
+    whole words in the same case, before or after; a word that is a given name once is one throughout.
+    """
     if not text or not HINT.search(text):
         return []
-    out = []
+    out, known, surfaces = [], {}, set()
     for m in FINDER.finditer(text):
         kind = m.lastgroup if m.lastgroup.endswith("_") else next(k for k, v in m.groupdict().items() if k.endswith("_") and v is not None)
         kind = kind[:-1]
@@ -81,15 +98,14 @@ def entities(text: str | None) -> list[Entity]:
         if kind == "name":
             gender = "f" if m["title"] in TITLES["f"] else "m"
             at = m.start("name")
-            words = [w for w in re.finditer(r"[^\W\d_]+", m["name"])]
-            names = []
-            for w in words:
-                if not w[0][0].isupper():
-                    break
-                names.append(w)
+            names = [w for w in re.finditer(_WORD, m["name"]) if w.start() == 0 or not m["name"][w.start() - 1].isalpha()]
             for i, w in enumerate(names):
                 own = gender if i < len(names) - 1 else ""
-                out.append(Entity(f"name:{own}:{script_of(w[0])}", at + w.start(), at + w.end(), w[0].lower()))
+                e = Entity(f"name:{own}:{script_of(w[0])}", at + w.start(), at + w.end(), w[0].lower())
+                out.append(e)
+                if e.canonical not in known or own and known[e.canonical].startswith("name::"):
+                    known[e.canonical] = e.kind
+                surfaces.add(w[0])
             continue
         value = text[start:end]
         if kind in ("phone", "card", "ssn"):
@@ -101,7 +117,20 @@ def entities(text: str | None) -> list[Entity]:
         else:
             canonical = value.lower() if kind == "email" else value
         out.append(Entity(kind, start, end, canonical))
-    return out
+    return with_mentions(text, out, known, surfaces) if known else out
+
+
+def with_mentions(text: str, found: list[Entity], known: dict[str, str], surfaces: set[str]) -> list[Entity]:
+    """``found`` with one kind for each name, and with the mentions of names that have no title.  Initials have none."""
+    out = [replace(e, kind=known[e.canonical]) if e.kind.startswith("name:") else e for e in found]
+    ends = iter([*found, Entity("", len(text), len(text), "")])
+    e = next(ends)
+    for m in MENTION.finditer(text):
+        while e.end <= m.start() < len(text) and e.kind:
+            e = next(ends)
+        if m.end() <= e.start and len(m[0]) > 1 and m[0] in surfaces:
+            out.append(Entity(known[m[0].lower()], m.start(), m.end(), m[0].lower()))
+    return sorted(out, key=lambda e: e.start)
 
 
 class Stream:
@@ -255,7 +284,8 @@ def resolve(table: DataFrame, key: bytes, max_rounds: int = 64) -> DataFrame:
 def replace_entities(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
     """``docs`` with surrogates in ``text``; adds ``n_entities`` and ``spans`` (kind, start, end in the old text, surrogate).
 
-    Whole texts are searched.  All mentions of an entity get one surrogate in the format of the mention,
+    Whole texts are searched.  All mentions of an entity get one surrogate in the format of the mention
+    (names: those with a title, and whole words of the same case in the same text),
     different entities of a kind get different ones, and no surrogate is an entity of the corpus.  The
     names and numbers follow from ``key`` alone, apart from the attempts after collisions, which are
     kept in sorted arrays in the shared folder; no text is shuffled.
