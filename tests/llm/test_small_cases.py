@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows, no rows and clashing columns."""
 
 import collections
+import math
 import zlib
 
 import numpy as np
@@ -212,6 +213,12 @@ def test_near_lines(spark, odd):
     assert len(out) == table.count() and by[2, None] == 1 and by[3, ""] == 1 and by[5, LONG] == 1 and by[5, ""] == 1
 
 
+def test_bands_of_lines_keep_the_stated_miss():
+    n, p = lines.BANDS * lines.ROWS, 0.1
+    alike = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(lines.DIFFERENT + 1))
+    assert (1 - 0.8**lines.ROWS) ** lines.BANDS + 1 - alike <= 0.001 and n <= 64
+
+
 # ------------------------------------------------------------------ language model
 
 
