@@ -219,6 +219,21 @@ def test_bands_of_lines_keep_the_stated_miss():
     assert (1 - 0.8**lines.ROWS) ** lines.BANDS + 1 - alike <= 0.001 and n <= 64
 
 
+def linked_lines(spark, texts):
+    """The first line that each line is filed under, for documents 0, 1, ... of one text each."""
+    table = lines.numbered(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]).select("doc_id", "text"))
+    return {r["doc_id"]: r["first_doc"] for r in lines.near_lines(table).collect()}
+
+
+def test_long_lines_of_one_sentence_have_signatures(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        sentence = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 49)) + " "
+        texts += [sentence * 200, sentence * 200 + "z"]
+    assert linked_lines(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
+
+
 # ------------------------------------------------------------------ language model
 
 
