@@ -234,6 +234,11 @@ def test_long_lines_of_one_sentence_have_signatures(spark):
     assert linked_lines(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_lines_of_equal_shingles_are_linked_at_any_length(spark):
+    phrase = "limited offer, call today! "
+    assert linked_lines(spark, ["-" * 40, "-" * 80, "=" * 700, phrase * 3, "=" * 30, phrase * 90]) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2, 5: 3}
+
+
 # ------------------------------------------------------------------ language model
 
 
