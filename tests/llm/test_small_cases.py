@@ -239,6 +239,15 @@ def test_lines_of_equal_shingles_are_linked_at_any_length(spark):
     assert linked_lines(spark, ["-" * 40, "-" * 80, "=" * 700, phrase * 3, "=" * 30, phrase * 90]) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2, 5: 3}
 
 
+def test_short_lines_stay_once(spark):
+    texts = ["Read more\na first line that is long enough\n\n \t\n你好,世界", " read more \n\n你好,世界\nmenu", "read mores\n\nmenu\nmenu", None, ""]
+    table = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["text"] for r in lines.without_near_lines(clashing(table)).collect()}
+    assert got == {0: texts[0], 1: "\nmenu", 2: "read mores\n", 3: None, 4: ""}
+    found = lines.repeated_lines(lines.numbered(table.select("doc_id", "text"))).collect()
+    assert len(found) == 9 and {(r["doc_id"], r["line_no"]) for r in found if r["kept"]} == {(0, 0), (0, 1), (0, 4), (1, 3), (2, 0)}
+
+
 # ------------------------------------------------------------------ language model
 
 

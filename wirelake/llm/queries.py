@@ -66,4 +66,4 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.near_lines(docs.withColumn("row_id", F.monotonically_increasing_id())).drop("row_id")
+    return lines.repeated_lines(docs.withColumn("row_id", F.monotonically_increasing_id())).drop("row_id")
