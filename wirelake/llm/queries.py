@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: thin, over whole tables, with production parameters."""
+"""The registered queries of the operators: thin, over whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import lines, mixing, neardup, ngrams, packing, pii, tokencount, toxicity, vectors
+from wirelake.llm import linerules, lines, mixing, neardup, ngrams, packing, pii, tokencount, toxicity, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -67,3 +67,8 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.repeated_lines(docs.withColumn("row_id", F.monotonically_increasing_id())).drop("row_id")
+
+
+@query("op11_line_rules", linerules.oracle())
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.cleaned_documents(table(spark, sf_dir, "documents")).drop("clean_text")
