@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import linerules, lines, mixing, neardup, ngrams, packing, pii, tokencount, toxicity, vectors
+from wirelake.llm import linerules, lines, mixing, neardup, ngrams, packing, phrases, pii, tokencount, toxicity, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -72,3 +72,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_line_rules", linerules.oracle())
 def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.cleaned_documents(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query("op12_phrases", phrases.oracle())
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
