@@ -48,7 +48,7 @@ def block_keys(spark: SparkSession, blocks: int) -> list[int]:
 
 def split_block(keys: list[int]) -> Column:
     """The block of the split that a row is read from; the same when a task runs again."""
-    return F.element_at(F.array(*[F.lit(k) for k in keys]), F.pmod(F.spark_partition_id(), F.lit(len(keys))) + 1)
+    return F.element_at(F.array(*[F.lit(k).cast("bigint") for k in keys]), F.pmod(F.spark_partition_id(), F.lit(len(keys))) + 1)
 
 
 class Blocks:

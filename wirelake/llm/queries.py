@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import linerules, lines, mixing, neardup, ngrams, packing, phrases, pii, tokencount, toxicity, vectors
+from wirelake.llm import alignment, linerules, lines, mixing, neardup, ngrams, packing, phrases, pii, tokencount, toxicity, vectors
 from wirelake.llm.common import table
 from wirelake.llm.registry import query
 from wirelake.llm.tokens import public_file
@@ -77,3 +77,8 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_phrases", phrases.oracle())
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"))
