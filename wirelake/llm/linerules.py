@@ -41,23 +41,25 @@ LEAST_SEPARATORS, SEPARATOR_PERCENT = 2, 20
 LOST_PERCENT = 30
 
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_STOPPED = re.compile(f"[{re.escape(STOPS)}][{re.escape(CLOSERS)}]*$")
+STOPPED = set(STOPS)
 _MENU = re.compile("(?:" + "|".join(map(re.escape, NAVIGATION)) + r")[\x20.:!>»›]*$")
-_COMMON = re.compile("|".join(map(re.escape, BOILERPLATE)))
-_NO_SYMBOL, _NO_SEPARATOR, _NO_BLANK = ({ord(c): None for c in some} for some in (SYMBOLS, SEPARATORS, _BLANKS))
 
 RULES = ("punctuation", "navigation", "boilerplate", "repeated")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 MORE = ", ".join(f"n_{rule} long" for rule in RULES) + ", lost_chars long, kept boolean, clean_text string"
 
 
+def number_of(text: str, some: str) -> int:
+    """How many characters of ``text`` are among ``some``."""
+    return sum(map(text.count, some))
+
+
 def repeated_words(words: list) -> int:
     """Words that lie in a window of ``WINDOW`` words found twice or more, the first one included."""
     windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    times = Counter(windows)
-    if len(times) == len(windows):
+    if len(set(windows)) == len(windows):
         return 0
+    times = Counter(windows)
     starts = np.fromiter((times[w] > 1 for w in windows), bool, len(windows))
     covered = np.zeros(len(words), bool)
     for i in range(WINDOW):
@@ -65,44 +67,43 @@ def repeated_words(words: list) -> int:
     return int(covered.sum())
 
 
-def line_fault(line: str, words: int, seen: bool) -> str | None:
+def line_fault(line: str, low: str, words: int, seen: bool, phrases: list[str]) -> str | None:
     """The first rule that a line (without outer blanks, with ``words`` words) breaks, if any."""
-    low = line.translate(_LOWER)
-    if _COMMON.search(low):
+    if any(phrase in low for phrase in phrases):
         return "boilerplate"
-    separators = len(line) - len(line.translate(_NO_SEPARATOR))
+    separators = number_of(line, SEPARATORS)
     if (separators >= LEAST_SEPARATORS and 100 * separators >= SEPARATOR_PERCENT * words) or _MENU.match(low):
         return "navigation"
-    symbols = len(line) - len(line.translate(_NO_SYMBOL))
-    if not _STOPPED.search(line) or 100 * symbols > SYMBOL_PERCENT * words:
+    if line.rstrip(CLOSERS)[-1:] not in STOPPED or 100 * number_of(line, SYMBOLS) > SYMBOL_PERCENT * words:
         return "punctuation"
     return "repeated" if seen else None
 
 
 def judge(text: str) -> tuple:
     """The values of ``BASE`` and ``MORE`` for one whole text."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    chars = len(text.translate(_NO_BLANK))
+    raw = text.encode("utf-8", "surrogatepass")
+    lowered = raw.lower().decode("utf-8", "surrogatepass")  # bytes have lower case for A-Z only
+    words, chars = raw.split(), len(text) - number_of(text, _BLANKS)
+    phrases = [phrase for phrase in BOILERPLATE if phrase in lowered]
     found, seen, stay = Counter(), set(), []
     lost = filled = 0
-    for raw in text.split("\n"):
-        line = raw.strip(_BLANKS)
-        if not line:
-            stay.append(raw)
+    for whole, low, some in zip(text.split("\n"), lowered.split("\n"), raw.split(b"\n"), strict=True):
+        line, n = whole.strip(_BLANKS), len(some.split())
+        if not n:
+            stay.append(whole)
             continue
         filled += 1
-        fault = line_fault(line, len(line.encode("utf-8", "surrogatepass").split()), raw in seen)
-        seen.add(raw)
+        fault = line_fault(line, low.strip(_BLANKS), n, whole in seen, phrases)
+        seen.add(whole)
         if fault:
             found[fault] += 1
-            lost += len(line.translate(_NO_BLANK))
+            lost += len(line) - number_of(line, _BLANKS)
         else:
-            stay.append(raw)
+            stay.append(whole)
     again = repeated_words(words)
     failed = len(words) < LEAST_WORDS or 100 * again > REPEAT_PERCENT * len(words)
     kept = not failed and 100 * lost <= LOST_PERCENT * chars
-    symbols = len(text) - len(text.translate(_NO_SYMBOL))
-    return (len(words), chars, symbols, filled - len(seen), again, failed, *(found[r] for r in RULES), lost, kept, "\n".join(stay))
+    return (len(words), chars, number_of(text, SYMBOLS), filled - len(seen), again, failed, *(found[r] for r in RULES), lost, kept, "\n".join(stay))
 
 
 def cleaned_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
