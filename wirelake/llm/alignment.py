@@ -19,7 +19,7 @@ from wirelake.session import cut
 #: Characters of text, if no single text has more, that one step aligns; pairs that a task counts before it passes them on.
 STEP, HELD = 8_000_000, 1_000_000
 #: Where a text is cut into parts, and what a part ends in for that; parts that are encoded together.
-PART, SAFE, RUN = re.compile(r"(?<=[\w.,;:!?])(?= )"), re.compile(r"[\w.,;:!?]$"), 5000
+PART, SAFE, RUN = re.compile(r"(?<=[\w.,;:!?])(?= +[^ ])"), re.compile(r"[\w.,;:!?]$"), 5000
 #: Room for ids of the second tokenizer in the number of a pair.
 SECOND = 1 << 32
 
@@ -179,7 +179,7 @@ def align(parts: list[str], path_a: str, path_b: str) -> pa.Table:
 def align_texts(texts: list[str], path_a: str, path_b: str) -> list[pa.Array]:
     """The columns of ``ALIGNED`` for texts without nulls.
 
-    A text is cut before blanks that follow a letter, a digit or a stop.  Neither tokenizer has tokens over such a
+    A text is cut before blanks that follow a letter, a digit or a stop, but for those at its end.  Neither tokenizer has tokens over such a
     place, so both end one there, and each different part need only be aligned once.
     """
     parts = [PART.split(" " + t) if t else [] for t in texts]
