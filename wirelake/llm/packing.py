@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelake.llm.common import slices
-from wirelake.llm.tokens import WordTokenizer
+from wirelake.llm.tokens import word_tokenizer
 from wirelake.session import cut
 
 #: Tokens of a sequence, and the id that ends each document.
@@ -80,7 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         for batch in slices(batches, 500):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 
-#: A stop after a letter and before a blank is a word of its own to the tokenizer anyway; splitting it
-#: off lets "word", "word," and "word." share one lookup.
-STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D]|$)")
-
-
 def public_file(name: str) -> str:
     """Where a file of the public tokenizers lies; the path is a parameter of every operator that needs one."""
     import public_tokenizers
@@ -26,6 +20,10 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Stops that are taken off a word before it is looked up.
+STOPS = (b".", b",")
+
+
 class WordTokenizer:
     """Ids of texts by ``word_bpe_49k.json`` or a file like it, looked up by blank-separated pieces.
 
@@ -34,7 +32,7 @@ class WordTokenizer:
     What is remembered is dropped whenever it holds ``most`` pieces, which bounds the memory.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.path, self.most = path, most
         tokenizer = _tokenizer(path)
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -59,6 +57,33 @@ class WordTokenizer:
         self.code.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def _learn(self, pieces: list[bytes]) -> None:
+        # a stop after a letter is a word of its own to the tokenizer, so "word." has the ids of "word" and of "."
+        ended = [p for p in pieces if p[-1:] in STOPS and p[-2:-1].isalpha()]
+        if not ended:
+            self._learn_words(pieces)
+            return
+        apart = set(ended)
+        words = [p[:-1] for p in ended]
+        known = dict.fromkeys([p for p in pieces if p not in apart] + words + list(STOPS))
+        self._learn_words([p for p in known if p not in self.code])
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        ids, length = self._gather(codes)
+        stops = np.array([self.ids[self.bounds[self.code[stop]]] for stop in STOPS])
+        at = np.cumsum(length + 1) - 1
+        out = np.empty(len(ids) + len(ended), np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[at] = False
+        out[inner], out[at] = ids, stops[[STOPS.index(p[-1:]) for p in ended]]
+        self._add(ended, length + 1, out)
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces by their codes, one after the other, and how many each has."""
+        first, length = self.bounds[codes], self.bounds[codes + 1] - self.bounds[codes]
+        upto = np.cumsum(length)
+        at = np.repeat(first - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)
+        return self.ids[at], length
+
+    def _learn_words(self, pieces: list[bytes]) -> None:
         tokenizer = _tokenizer(self.path)
         texts = [p.decode("utf-8", "surrogatepass") for p in pieces]
         # a piece of letters is one word to the tokenizer, so its ids end at the first end-of-word id
@@ -66,7 +91,7 @@ class WordTokenizer:
         plain = [i for i, whole in enumerate(letters) if whole]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = np.array(tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer does not end each word with an end-of-word token")
@@ -81,7 +106,7 @@ class WordTokenizer:
     def pieces(text: str | None) -> list[bytes]:
         if not text:
             return []
-        raw = STOP.sub(rb" \1 ", text.encode("utf-8", "surrogatepass"))
+        raw = text.encode("utf-8", "surrogatepass")
         # lower case early unless a combining mark follows, which could compose with one case only
         return (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
 
@@ -95,14 +120,18 @@ class WordTokenizer:
         if new:
             self._learn(new)
         codes = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
-        first, length = self.bounds[codes], self.bounds[codes + 1] - self.bounds[codes]
+        ids, length = self._gather(codes)
         upto = np.cumsum(length)
-        at = np.repeat(first - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)
-        ids = self.ids[at]
         ends = np.concatenate([[0], upto])[np.cumsum([0] + [len(p) for p in split])]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The one of this worker process, with what earlier tasks have learnt; the ids do not depend on that."""
+    return WordTokenizer(path)
+
+
 def plain_ids(path: str, text: str | None) -> list[int]:
     """Ids by the tokenizer on the whole text at once: the plain version for tests."""
     return _tokenizer(path).encode(text or "", add_special_tokens=False).ids
