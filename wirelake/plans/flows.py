@@ -11,6 +11,7 @@ from wirelake.plans.corpus import answers, pages
 from wirelake.plans.registry import query
 from wirelake.sources import posts, readers, upsert, writers
 from wirelake.streaming import events as ev
+from wirelake.streaming import ingest, state
 
 
 @query("s01_csv_import", """SELECT id, name, zone, manufacturer AS maker, 'V9' AS vehicle_signature FROM components""", "components")
@@ -254,17 +255,45 @@ def _(t):
     return ntz(df, "window_start").select("window_start", "total", F.round("latency_mean", 6).alias("latency_mean"), F.round("error_rate", 6).alias("error_rate"))
 
 
-def statuses(t):
-    s = replay(t, t.events.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "completed").otherwise("processing").alias("status"), (F.col("event_id") % 101).alias("progress"), F.col("event_type").alias("stage")))
-    return ev.collect_updates(ev.latest_job_status(s), ["job_id"])
+def replay_in_order(t, df, days=8):
+    """The events as a stream of files in event-time order, a file per ``days`` days of the month."""
+    path = writers.scratch(t.spark, "events")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    for number in range(-(-31 // days)):
+        df.filter(F.floor((F.dayofmonth("ts") - 1) / days) == number).coalesce(1).write.mode("append").parquet(path)
+    return ev.read_files(t.spark, path, df.schema)
+
+
+def job_changes(t):
+    """What the jobs' state gives out: it leaves after 48 hours, a job that is not done is stale after 12."""
+    rows = t.events.select(
+        F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "completed").otherwise("processing").alias("status"),
+        (F.col("event_id") % 101).alias("progress"), F.col("event_type").alias("stage"),
+        F.when(F.col("event_type").isin("click", "view"), F.concat("event_type", F.lit("_url"))).alias("artifact"), F.col("event_id").cast("string").alias("artifact_value"))
+    return ev.collect_changes(state.job_states(replay_in_order(t, rows), "48 hours", "12 hours", "1 hour"), state.STORE)
+
+
+def episodes(key, ttl, columns):
+    """SQL: the rows of each key with the number of their episode, and whether this has ended at the final watermark."""
+    return f"""r AS (SELECT {key} AS k, ts, event_id, epoch_ms(ts) AS ms, {columns} FROM {"interactions" if key == "user_id" and "kind" in columns else "events"}),
+p AS (SELECT *, lag(ms) OVER (PARTITION BY k ORDER BY ts, event_id) AS prev, lead(ms) OVER (PARTITION BY k ORDER BY ts, event_id) AS nxt FROM r),
+q AS (SELECT *, sum(CASE WHEN prev IS NULL OR ms >= prev + {ttl} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM p),
+w AS (SELECT max(ms) - 3600000 AS mark FROM r),
+x AS (SELECT k, no, max(ms) + {ttl} < (SELECT mark FROM w) OR no < max(no) OVER (PARTITION BY k) AS closed FROM (SELECT k, no, max(ms) AS ms FROM q GROUP BY 1, 2) z GROUP BY k, no)"""
 
 
-LAST = "l AS (SELECT user_id AS job_id, ts, event_id % 101 AS progress, CASE WHEN event_type='purchase' THEN 'completed' ELSE 'processing' END AS status, event_type AS stage FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)=1)"
+JOB_ROWS = "event_id % 101 AS progress, CASE WHEN event_type='purchase' THEN 'completed' ELSE 'processing' END AS status, event_type AS stage"
+HOUR = 3600000
+LAST = f"""{episodes("user_id", 48 * HOUR, JOB_ROWS)},
+l AS (SELECT k AS job_id, no, min(ts) AS since, max(ts) AS ts, arg_max(status, (ts, event_id)) AS status, arg_max(progress, (ts, event_id)) AS progress, arg_max(stage, (ts, event_id)) AS stage,
+  max(progress) AS max_progress, count(*) AS updates, arg_max(event_id, (ts, event_id)) FILTER (stage='click') AS c, arg_max(event_id, (ts, event_id)) FILTER (stage='view') AS v, bool_or(closed) AS closed
+  FROM q JOIN x USING (k, no) GROUP BY 1, 2)"""
 
 
-@query("t04_latest_job_status", f"WITH {LAST} SELECT l.job_id, status, progress, stage, ts, m AS max_progress, n AS updates FROM l JOIN (SELECT user_id, max(event_id % 101) AS m, count(*) AS n FROM events GROUP BY 1) a ON a.user_id=l.job_id")
+@query("t04_latest_job_status", f"WITH {LAST} SELECT job_id, since, CASE WHEN closed THEN 'closed' ELSE 'open' END AS event, ts, status, progress, stage, max_progress, updates, concat_ws(',', 'click_url=' || c, 'view_url=' || v) AS artifacts FROM l")
 def _(t):
-    return ntz(statuses(t), "ts")
+    last = state.last_states(job_changes(t), "job_id")
+    return ntz(last.withColumn("artifacts", F.array_join("artifacts", ",")), "since", "ts")
 
 
 @query("t05_signal_summary", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS signal_type, CASE WHEN value>100 THEN 'high' ELSE 'low' END AS severity, count(*) AS n, round(avg(value),6) AS avg_confidence FROM events GROUP BY 1,2,3")
@@ -274,10 +303,15 @@ def _(t):
     return ntz(df, "window_start").withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
-@query("t06_profile_state", "SELECT user_id, count(*) AS total, count(*) FILTER (NOT success) AS errors, string_agg(DISTINCT interaction_type, ',' ORDER BY interaction_type) AS kinds, CASE WHEN count(*)>300 THEN 'expert' WHEN count(*)>100 THEN 'intermediate' ELSE 'novice' END AS experience_level FROM interactions GROUP BY 1", "interactions")
+@query("t06_profile_state", f"""WITH {episodes("user_id", 24 * HOUR, "interaction_type AS kind, target_object_id AS target, success")},
+kinds AS (SELECT k, no, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT k, no, kind, count(*) AS n FROM q GROUP BY 1, 2, 3) z GROUP BY 1, 2)
+SELECT k AS user_id, min(ts) AS since, max(ts) AS ts, CASE WHEN bool_or(closed) THEN 'closed' ELSE 'open' END AS event, count(*) AS total, count(*) FILTER (NOT success) AS errors, count(DISTINCT target) AS components,
+  any_value(kinds) AS kinds, CASE WHEN count(*)>30 THEN 'expert' WHEN count(*)>10 THEN 'intermediate' ELSE 'novice' END AS experience_level
+FROM q JOIN x USING (k, no) JOIN kinds USING (k, no) GROUP BY k, no""", "interactions")
 def _(t):
-    df = ev.collect_updates(ev.profile_state(replay(t, t.interactions)), ["user_id"])
-    return df.select("user_id", "total", "errors", F.array_join("kinds", ",").alias("kinds"), "experience_level")
+    rows = t.interactions.select("user_id", "ts", F.col("event_id").alias("seq"), "interaction_type", "target_object_id", "success")
+    changes = ev.collect_changes(state.profile_states(replay_in_order(t, rows), 10, "24 hours", "1 hour"), state.STORE)
+    return ntz(state.last_states(changes, "user_id").withColumn("kinds", F.array_join("kinds", ",")), "since", "ts")
 
 
 @query("t07_retain_recent", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
@@ -304,14 +338,17 @@ def _(t):
     return ntz(df, "window_start").withColumn("duration", F.round("duration", 6))
 
 
-@query("t11_ingest_files", "SELECT DISTINCT user_id FROM events")
+@query("t11_ingest_files", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def _(t):
-    return ev.ingest_files(replay(t, t.events.select("user_id", "ts", "event_type")), ["user_id"]).select("user_id")
+    path = writers.scratch(t.spark, "ingest")
+    stream = replay(t, t.events.select("user_id", "ts", "event_id", "event_type"))
+    return ntz(ingest.ingest_files(stream, f"{path}/table", f"{path}/progress", ["user_id"], ["ts", "event_id"], F.col("user_id") % 16), "ts")
 
 
-@query("t12_stale_jobs", f"WITH {LAST} SELECT job_id, status FROM l WHERE status<>'completed' AND ts < TIMESTAMP '2024-01-30' - INTERVAL 12 HOUR")
+@query("t12_stale_jobs", f"""WITH {episodes("user_id", 48 * HOUR, JOB_ROWS)}
+SELECT k AS job_id, ts, status FROM q, w WHERE status <> 'completed' AND CASE WHEN nxt IS NULL THEN ms + {12 * HOUR} < mark ELSE nxt >= ms + {12 * HOUR} END""")
 def _(t):
-    return ev.stale_jobs(statuses(t), F.lit("2024-01-30").cast("timestamp"), "12 hours").select("job_id", "status")
+    return ntz(job_changes(t).filter("event = 'stale'").select("job_id", "ts", "status"), "ts")
 
 
 @query("t13_enrich_stream", "SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON c_custkey=user_id")
@@ -320,7 +357,7 @@ def _(t):
     return ev.collect_updates(ev.enrich_stream(replay(t, t.events.select("event_id", "user_id", "ts")), dim, "user_id"), [], "append").select("event_id", "c_mktsegment")
 
 
-@query("t14_progress_view", f"WITH {LAST} SELECT count(*) AS active, round(avg(progress),6) AS avg_progress, min(ts) AS oldest, max(ts) AS newest FROM l WHERE progress<100 AND ts > TIMESTAMP '2024-01-31' - INTERVAL 96 HOUR")
+@query("t14_progress_view", f"WITH {LAST} SELECT count(*) AS active, round(avg(progress),6) AS avg_progress, min(ts) AS oldest, max(ts) AS newest FROM l WHERE progress<100 AND NOT closed")
 def _(t):
-    df = ev.progress_view(statuses(t), F.lit("2024-01-31").cast("timestamp"), "96 hours")
+    df = ev.progress_view(state.last_states(job_changes(t), "job_id"))
     return ntz(df, "oldest", "newest").withColumn("avg_progress", F.round("avg_progress", 6))

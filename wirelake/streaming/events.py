@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.sources.upsert import merge_entities
 from wirelake.sources.writers import scratch
 
 
@@ -46,26 +45,11 @@ def latency_monitor(stream: DataFrame, size: str = "10 minutes", slide: str = "1
     ).select(F.col("w.start").alias("window_start"), "total", "latency_mean", "latency_p95", "latency_p99", "error_rate")
 
 
-def latest_job_status(stream: DataFrame) -> DataFrame:
-    """Last known status per job; the row with the greatest ``(ts, seq)`` wins, in any arrival order."""
-    best = F.max_by(F.struct("status", "progress", "stage", "ts"), F.struct("ts", "seq")).alias("s")
-    return stream.groupBy("job_id").agg(best, F.max("progress").alias("max_progress"), n().alias("updates")).select("job_id", "s.*", "max_progress", "updates")
-
-
 def signal_summary(stream: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "signal_type", "severity").agg(
         n().alias("n"), F.avg("confidence").alias("avg_confidence")).select(F.col("w.start").alias("window_start"), "signal_type", "severity", "n", "avg_confidence")
 
 
-def profile_state(stream: DataFrame, threshold: int = 100) -> DataFrame:
-    """Profile per user, kept up to date with every batch."""
-    t = F.col("total")
-    return stream.groupBy("user_id").agg(
-        n().alias("total"), F.count(F.when(~F.col("success"), 1)).alias("errors"), F.approx_count_distinct("target_object_id").alias("components"), F.max("ts").alias("last_updated"),
-        F.array_sort(F.collect_set("interaction_type")).alias("kinds")
-    ).withColumn("experience_level", F.when(t > threshold * 3, "expert").when(t > threshold, "intermediate").otherwise("novice"))
-
-
 def retain_recent(df: DataFrame, keep: str = "24 hours") -> DataFrame:
     """Rows of the last ``keep`` before the newest row."""
     newest = df.agg(F.max("ts").alias("_newest")).withColumn("_g", F.lit(1))
@@ -90,19 +74,14 @@ def ops_metrics(stream: DataFrame, window: str = "1 hour", low: float = 0.0, hig
     ).agg(n().alias("n"), F.sum("duration").alias("duration")).select(F.col("w.start").alias("window_start"), "label", "bucket", "n", "duration")
 
 
-def stale_jobs(statuses: DataFrame, now: Column, age: str = "1 hour", done: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
-    """Jobs that are not done and have not moved for ``age``."""
-    return statuses.filter(~F.col("status").isin(*done) & (F.col("ts") < now - F.expr(f"INTERVAL {age}")))
-
-
 def enrich_stream(stream: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Join each arriving row with a static table."""
     return stream.join(dim, key, "left")
 
 
-def progress_view(statuses: DataFrame, now: Column, ttl: str = "24 hours") -> DataFrame:
-    """Active jobs that moved within ``ttl``: number, mean progress, oldest and newest move."""
-    live = statuses.filter((F.col("ts") > now - F.expr(f"INTERVAL {ttl}")) & (F.col("progress") >= 0) & (F.col("progress") < 100))
+def progress_view(states: DataFrame) -> DataFrame:
+    """Of the last states of jobs (see ``state.job_states``): number of active ones, mean progress, oldest and newest move."""
+    live = states.filter((F.col("event") == "open") & (F.col("progress") >= 0) & (F.col("progress") < 100))
     return live.agg(n().alias("active"), F.avg("progress").alias("avg_progress"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
 
 
@@ -119,6 +98,21 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], mode
     query.awaitTermination()
 
 
+def collect_changes(stream: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """Run a stream in update mode under the given settings and return all that it gave out."""
+    spark = stream.sparkSession
+    path = scratch(spark, "changes")
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        run_batches(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/{batch}"), "update")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
+
+
 def collect_updates(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run the stream into files and return the last version of each key."""
     spark = stream.sparkSession
@@ -129,25 +123,3 @@ def collect_updates(stream: DataFrame, keys: list[str], mode: str = "update") ->
         return written.drop("_batch")
     values = [c for c in written.columns if c not in {*keys, "_batch"}]
     return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
-
-
-def ingest_files(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge each batch of new rows into a table by key; returns the table at the end.
-
-    Every batch writes a new version and then moves the pointer, so a batch that is run again after
-    a failure starts from the version before it.
-    """
-    spark = stream.sparkSession
-    base = scratch(spark, "ingest")
-    versions: dict[int, str] = {}
-
-    def apply(df: DataFrame, batch: int) -> None:
-        before = [v for b, v in versions.items() if b < batch]
-        fresh = df.dropDuplicates(keys)
-        table = merge_entities(spark.read.parquet(before[-1]), fresh, keys)[0] if before else fresh
-        path = f"{base}/v{batch}"
-        table.write.mode("overwrite").parquet(path)
-        versions[batch] = path
-
-    run_batches(stream, apply)
-    return spark.read.parquet(versions[max(versions)])
