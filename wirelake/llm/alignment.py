@@ -257,7 +257,7 @@ def alignment_counts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_
     pair of nearly every document travels once per block.  There are at most as many totals as pairs of ids, whatever the
     input.  Null keys and repeated rows are rows of their own; other columns are not read; no rows give none.
     """
-    blocks = Blocks(docs.select(key, text))
+    blocks = Blocks.of_splits(docs.select(key, text))
     try:
         with settings(docs.sparkSession, CO_LOCATED):
             found = token_groups(docs, path_a, path_b, key, text)

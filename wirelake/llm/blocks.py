@@ -1,6 +1,6 @@
 """Tables dealt into fixed blocks, so that joins and counts by block need no shuffle.
 
-A block is what one input split holds.  Work that needs values of the whole corpus counts them per block first,
+A block is what one input split, or one partition of a shuffle, holds.  Work that needs values of the whole corpus counts them per block first,
 adds the counts up by value, and sends each block the totals of the values that occur in it.  No value is hot this
 way: it travels once per block, however often it occurs there.
 """
@@ -47,19 +47,28 @@ def block_keys(spark: SparkSession, blocks: int) -> list[int]:
 
 
 def split_block(keys: list[int]) -> Column:
-    """The block of the split that a row is read from; the same when a task runs again."""
+    """The block of the split or partition that a row comes from; the same when a task runs again."""
     return F.element_at(F.array(*[F.lit(k).cast("bigint") for k in keys]), F.pmod(F.spark_partition_id(), F.lit(len(keys))) + 1)
 
 
 class Blocks:
     """Bucketed tables of one job; ``close`` removes those that are left."""
 
-    def __init__(self, source: DataFrame):
-        self.spark = source.sparkSession
-        self.number = min(MOST_BLOCKS, max(1, source.rdd.getNumPartitions()))
+    def __init__(self, spark: SparkSession, number: int):
+        self.spark, self.number = spark, min(MOST_BLOCKS, max(1, number))
         self.keys = block_keys(self.spark, self.number)
         self.names: list[str] = []
 
+    @classmethod
+    def of_splits(cls, source: DataFrame) -> Blocks:
+        """As many blocks as ``source`` has input splits."""
+        return cls(source.sparkSession, source.rdd.getNumPartitions())
+
+    @classmethod
+    def of_shuffles(cls, spark: SparkSession) -> Blocks:
+        """As many blocks as a shuffle has partitions."""
+        return cls(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def write(self, rows: DataFrame, *order: str) -> DataFrame:
         """``rows`` (with ``block``) as a table in the shared warehouse, each block in the given order."""
         name = f"wirelake_{uuid.uuid4().hex}"
