@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.llm.blocks import CO_LOCATED, Blocks, settings, split_block
@@ -20,9 +20,10 @@ COVERED_PERCENT = 50
 
 
 def marked(text: Column) -> Column:
-    """A-Z in lower case, and a line feed between blanks for each end of a piece."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase + ENDS, string.ascii_lowercase + "\n" * len(ENDS))
-    return F.replace(plain, F.lit("\n"), F.lit(" \n "))
+    """A-Z in lower case, a line feed between blanks for each end of a piece, and single blanks."""
+    old, new = string.ascii_uppercase + "\t" + ENDS, string.ascii_lowercase + " " + "\n" * len(ENDS)
+    plain = F.replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), old, new), F.lit("\n"), F.lit(" \n "))
+    return F.regexp_replace(plain, " {2,}", " ")
 
 
 def slices_of(docs: DataFrame, lang: str, text: str, overlap: int) -> DataFrame:
@@ -30,7 +31,7 @@ def slices_of(docs: DataFrame, lang: str, text: str, overlap: int) -> DataFrame:
 
     The first ``owned`` words of a slice are its own; the others are read by the next slice too.
     """
-    tokens = F.split("words", r"[\x20\x09]+")
+    tokens = F.split("words", " ")
     part = lambda at: F.struct(F.lit(SLICE).alias("owned"), F.concat_ws(" ", F.slice(tokens, at + 1, F.lit(SLICE + overlap))).alias("words"))
     whole = F.array(F.struct(F.lit(2**31 - 1).alias("owned"), F.col("words")))
     parts = F.when(F.length("words") <= LONG, whole).otherwise(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(SLICE)), part))
@@ -40,14 +41,19 @@ def slices_of(docs: DataFrame, lang: str, text: str, overlap: int) -> DataFrame:
 
 def word_places(texts: DataFrame) -> DataFrame:
     """``block, seg, lang, at, own, word``: a row per word.  A break takes a place, so words of two pieces are never adjacent."""
-    every = texts.select("block", "seg", "lang", "owned", F.posexplode(F.split("words", r"[\x20\x09]+")).alias("at", "word"))
+    every = texts.select("block", "seg", "lang", "owned", F.posexplode(F.split("words", " ")).alias("at", "word"))
     return every.filter("word <> '' AND word <> '\n'").select("block", "seg", "lang", "at", (F.col("at") < F.col("owned")).alias("own"), "word")
 
 
 def frequent(counted: DataFrame, group: list[str], least: int) -> DataFrame:
-    """``id, group, f``: groups that occur ``least`` times in all blocks together, with a number of their own."""
-    total = counted.groupBy(*group).agg(F.sum("n").alias("f"))
-    return cut(total.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), *group, "f"))
+    """``block, group, f, id, one``: the groups that occur ``least`` times in all blocks together, in each block that has them.
+
+    ``id`` is a number of the group, and ``one`` is true in one of its rows.  A group has a row per block at most.
+    """
+    everywhere = Window.partitionBy(*group)
+    rows = counted.withColumn("own_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("f", F.sum("n").over(everywhere)).withColumn("id", F.min("own_id").over(everywhere))
+    return cut(rows.filter(F.col("f") >= least).select("block", *group, "f", "id", (F.col("id") == F.col("own_id")).alias("one")))
 
 
 def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 10, longest: int = 3) -> tuple[DataFrame, list[DataFrame]]:
@@ -58,7 +64,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 1
     """
     spark = docs.sparkSession
     source = slices_of(docs, lang, text, longest - 1)
-    blocks = Blocks(source)
+    blocks = Blocks.of_splits(source)
     try:
         with settings(spark, CO_LOCATED):
             texts = blocks.write(source.select(split_block(blocks.keys).alias("block"), F.monotonically_increasing_id().alias("seg"), "lang", "owned", "words"))
@@ -67,21 +73,26 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 1
             totals = cut(counted.groupBy("lang").agg(F.sum("n").alias("n")))
             words = frequent(counted, ["lang", "word"], least)
             one = F.array(F.col("f"))
-            found = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), one.alias("heads"), one.alias("tails"), "f")]
+            found = [words.filter("one").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), one.alias("heads"), one.alias("tails"), "f")]
             group, occurrences = ["lang", "word"], places
             for length in range(2, longest + 1):
                 # the semi-join: of the occurrences of the last length only those of frequent groups go on, by their numbers
-                asked = blocks.to_blocks(counted.join(words, group).select("block", *group, "id"))
+                asked = blocks.to_blocks(words.select("block", *group, "id"))
                 kept = occurrences.join(asked.hint("shuffle_hash"), ["block", *group])
                 relation = blocks.write(kept.select("block", "seg", "at", "own", "id"), "seg", "at")
                 blocks.drop(length - 2)
                 one = relation.select("block", "seg", (F.col("at") + 1).alias("at"), F.col("id").alias("a"), "own")
                 two = relation.select("block", "seg", "at", F.col("id").alias("b"))
                 occurrences = one.join(two.hint("merge"), ["block", "seg", "at"]).select("block", "seg", (F.col("at") - 1).alias("at"), "own", "a", "b")
-                group = ["a", "b"]
-                counted = cut(occurrences.filter("own").groupBy("block", *group).agg(F.count(F.lit(1)).alias("n")))
-                words = frequent(counted, group, least)
-                found.append(cut(spelled(words, found[-1])))
+                group, number = ["a", "b"], F.count(F.lit(1))
+                if length < longest:
+                    counted = cut(occurrences.filter("own").groupBy("block", *group).agg(number.alias("n")))
+                    words = frequent(counted, group, least)
+                    groups = words.filter("one").select("id", *group, "f")
+                else:  # nothing is sent back, so the counts need no blocks
+                    last = occurrences.filter("own").groupBy(*group).agg(number.alias("f")).filter(F.col("f") >= least)
+                    groups = last.withColumn("id", F.monotonically_increasing_id())
+                found.append(cut(spelled(groups, found[-1])))
     finally:
         blocks.close()
     return totals, found
@@ -138,7 +149,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         part = part.select("lang", "id", "phrase", "a", "cut.l", "cut.r", "cut.score")
         candidates = part if candidates is None else candidates.unionByName(part)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    some = top_rows(candidates.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))), ["lang", "salt"], order, top)
+    some = top_rows(candidates.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16))), ["lang", "salt"], order, top)
     best = top_rows(some.drop("rank"), ["lang"], order, top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
