@@ -1,7 +1,7 @@
 """Keyed state that expires: the last state of each job, and the running profile of each user.
 
 Both are ``transformWithState`` operators with value and map state and event-time timers.  Rows older than the watermark
-are left out by Spark.  Rows of a key count in event-time order within a batch; a row that comes after an
+of their batch are left out.  Rows of a key count in event-time order within a batch; a row that comes after an
 idle time of ``ttl`` starts a new episode whether or not the timer has fired before, so the result does not depend on
 how the stream is cut into batches as long as rows are late by less than the watermark's delay.
 """
@@ -30,10 +30,10 @@ def millis(text: str) -> int:
     return int(pd.Timedelta(text).total_seconds() * 1000)
 
 
-def ordered(rows: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
-    """The rows of a key in one batch, in the order of the first columns."""
-    frames = [f[list(columns)] for f in rows]
-    return sorted((t for f in frames for t in f.itertuples(index=False, name=None)), key=lambda t: t[:2]) if frames else []
+def ordered(rows: Iterator[pd.DataFrame], watermark: int, *columns: str) -> list[tuple]:
+    """The rows of a key in one batch from the watermark on, in the order of the first columns."""
+    every = (t for f in rows for t in f[list(columns)].itertuples(index=False, name=None))
+    return sorted((t for t in every if t[0] // 1000 >= watermark), key=lambda t: t[:2])
 
 
 class Expiring(StatefulProcessor):
@@ -92,7 +92,7 @@ class JobStates(Expiring):
         for wait in self.timers(job) if job else []:
             self.handle.deleteTimer(wait)
         out, changed = [], set()
-        for ts, seq, status, progress, stage, name, value in ordered(rows, "us", "seq", "status", "progress", "stage", "artifact", "artifact_value"):
+        for ts, seq, status, progress, stage, name, value in ordered(rows, timerValues.getCurrentWatermarkInMs(), "us", "seq", "status", "progress", "stage", "artifact", "artifact_value"):
             if job and self.quiet(job, ts):
                 out.append(self.row(key, "stale", job, artifacts))
                 job = (*job[:8], True)
@@ -176,7 +176,7 @@ class Profiles(Expiring):
             targets.clear()
             return (*profile[:4], profile[4] + fresh)
 
-        for ts, _, kind, target, success in ordered(rows, "us", "seq", "interaction_type", "target_object_id", "success"):
+        for ts, _, kind, target, success in ordered(rows, timerValues.getCurrentWatermarkInMs(), "us", "seq", "interaction_type", "target_object_id", "success"):
             if profile and self.over(profile[1], ts):
                 out.append(self.row(key, "closed", settle(), kinds))
                 self.forget()
