@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelake.operators.aggregates import count_if, messages, n
-from wirelake.operators.graph import connected_components
+from wirelake.operators.density import density_clusters
 from wirelake.operators.ranking import error_streaks
 from wirelake.scale import lag_rows, running_sum
+from wirelake.session import cut
 
 #: All kinds of interaction.
 INTERACTION_TYPES = ["component_selection", "component_placement", "wire_routing", "layout_approval", "layout_rejection", "manual_adjustment",
@@ -138,33 +139,33 @@ def user_recommendations(profiles: DataFrame, errors: DataFrame, efficiency: Dat
                  (learner & F.array_contains("error_patterns", "clearance_violations"), "Electrical clearance requirements guide")).alias("learning_resources"))
 
 
+#: Features of an interaction: kind, duration, success, hour and day of the week.
+FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+
+
 def interaction_features(interactions: DataFrame) -> DataFrame:
-    """One row of numbers per user, scaled to zero mean and unit spread."""
-    base = interactions.groupBy("user_id").agg(n().cast("double").alias("f0"), F.avg("duration_ms").alias("f1"), (count_if(F.col("success")) / n()).alias("f2"),
-                                               F.avg(F.hour("ts").cast("double")).alias("f3"))
-    stats = base.agg(*[F.avg(c).alias(f"m_{c}") for c in ("f0", "f1", "f2", "f3")], *[F.stddev_pop(c).alias(f"s_{c}") for c in ("f0", "f1", "f2", "f3")]).withColumn("_g", F.lit(1))
-    joined = base.withColumn("_g", F.lit(1)).join(F.broadcast(stats), "_g")  # one row
-    return joined.select("user_id", *[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("f0", "f1", "f2", "f3")])
+    """``event_id`` and five numbers per interaction, each scaled to zero mean and unit spread over all.
+
+    The kind is a number below 1000 that follows from its name.
+    """
+    kind = F.conv(F.substring(F.md5("interaction_type"), 1, 4), 16, 10).cast("bigint") % 1000
+    raw = [kind, F.col("duration_ms"), F.col("success").cast("int"), F.hour("ts"), F.weekday("ts")]
+    base = interactions.select("event_id", *[x.cast("double").alias(name) for name, x in zip(FEATURES, raw, strict=True)])
+    stats = base.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES])
+    scaled = [F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in FEATURES]
+    return base.withColumn("_g", F.lit(1)).join(F.broadcast(stats.withColumn("_g", F.lit(1))), "_g").select("event_id", *scaled)  # one row
 
 
-def cluster_interactions(interactions: DataFrame, method: str = "density", k: int = 4, eps: float = 0.5, min_points: int = 3) -> DataFrame:
-    """Group users with alike features: ``kmeans``, or ``density`` (cell-blocked eps links; -1 = noise)."""
-    f = interaction_features(interactions)
+def cluster_interactions(interactions: DataFrame, method: str = "density", k: int = 4, eps: float = 0.5, min_points: int = 5) -> DataFrame:
+    """Group interactions with alike features: ``kmeans``, or ``density`` with ``kind`` (see ``density_clusters``)."""
+    f = cut(interaction_features(interactions))
     if method == "kmeans":
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
 
-        v = VectorAssembler(inputCols=["f0", "f1", "f2", "f3"], outputCol="v").transform(f)
-        return KMeans(k=k, seed=1, featuresCol="v", predictionCol="cluster").fit(v).transform(v).select("user_id", "cluster")
-    from wirelake.operators.spatial import near_pairs
-
-    points = f.select(F.col("user_id").cast("string").alias("id"), F.lit(0).alias("key"), F.col("f0").alias("x"), F.col("f1").alias("y"), F.col("f2").alias("z"))
-    pairs = near_pairs(points, points, eps, ["key"], "xyz").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-    core = pairs.groupBy(F.col("src").alias("id")).agg(n().alias("c")).filter(F.col("c") >= min_points).select("id")
-    links = pairs.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    groups = connected_components(core, links)
-    edge = pairs.join(groups.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-    return points.select("id").join(groups, "id", "left").join(edge, "id", "left").select(F.col("id").alias("user_id"), F.coalesce("component", "near", F.lit("-1")).alias("cluster"))
+        v = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(f)
+        return KMeans(k=k, seed=1, featuresCol="v", predictionCol="cluster").fit(v).transform(v).select("event_id", "cluster")
+    return density_clusters(f, "event_id", FEATURES, eps, min_points)
 
 
 def search_analytics(searches: DataFrame, start: Column, end: Column, k: int = 10) -> DataFrame:

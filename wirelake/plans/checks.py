@@ -278,7 +278,18 @@ def _(t):
     return joined(df, "ui_improvements", "workflow_optimizations", "feature_suggestions", "learning_resources")
 
 
-@query("b10_cluster_density")
+FAR = " + ".join(f"(a.f{k} - b.f{k}) * (a.f{k} - b.f{k})" for k in range(5))
+
+
+@query("b10_cluster_density", f"""WITH RECURSIVE raw AS (SELECT event_id, (CAST('0x' || substr(md5(interaction_type), 1, 4) AS BIGINT) % 1000)::DOUBLE AS r0, duration_ms::DOUBLE AS r1, success::INT::DOUBLE AS r2, hour(ts)::DOUBLE AS r3, (isodow(ts) - 1)::DOUBLE AS r4 FROM interactions),
+st AS (SELECT {", ".join(f"avg(r{k}) AS m{k}, stddev_pop(r{k}) AS s{k}" for k in range(5))} FROM raw),
+p AS (SELECT event_id, {", ".join(f"coalesce((r{k} - m{k}) / nullif(s{k}, 0), 0) AS f{k}" for k in range(5))} FROM raw, st),
+e AS (SELECT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON {FAR} <= 0.25),
+core AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) >= 5),
+ce AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT ce.b, min(cc.comp) FROM cc JOIN ce ON ce.a = cc.id JOIN recurring.cc AS r ON r.id = ce.b WHERE cc.comp < r.comp GROUP BY 1),
+near AS (SELECT e.a AS id, min(comp) AS comp FROM e JOIN cc ON cc.id = e.b WHERE e.a NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT event_id, coalesce(cc.comp, near.comp, -1) AS cluster, CASE WHEN cc.comp IS NOT NULL THEN 'core' WHEN near.comp IS NOT NULL THEN 'border' ELSE 'noise' END AS kind FROM p LEFT JOIN cc ON cc.id = event_id LEFT JOIN near ON near.id = event_id""", "interactions")
 def _(t):
     return bh.cluster_interactions(t.interactions, "density")
 

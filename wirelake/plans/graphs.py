@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from wirelake.operators import graph, quality
+from wirelake.operators import dependency, graph, quality
 from wirelake.operators.joins import all_relationships
 from wirelake.plans.registry import query
+from wirelake.session import cut
 
 
 def pairs(t):
@@ -104,3 +105,36 @@ def _(t):
 @query("g16_unpowered", """SELECT id, 'unpowered' AS issue FROM components WHERE type NOT IN ('battery','alternator','power_supply','ground') AND id NOT IN (SELECT src FROM powered_by) UNION ALL SELECT id, 'orphaned_connector' FROM components WHERE type='connector' AND id NOT IN (SELECT src FROM connects_to UNION SELECT dst FROM connects_to)""", ("components", "powered_by", "connects_to"))
 def _(t):
     return quality.unpowered_report(t.components, t.edges)
+
+
+REACH = """d AS (SELECT DISTINCT vehicle_signature AS t, dst AS src, src AS dst FROM {edges}),
+v AS (SELECT t, src AS id FROM d UNION SELECT t, dst FROM d),
+reach AS (SELECT t, src, dst FROM d UNION SELECT r.t, r.src, d.dst FROM reach r JOIN d ON d.t = r.t AND d.src = r.dst),
+m AS (SELECT r.t, r.src AS id, min(r.dst) AS other FROM reach r JOIN reach b ON b.t = r.t AND b.src = r.dst AND b.dst = r.src GROUP BY 1, 2),
+g AS (SELECT v.t, v.id, coalesce(least(v.id, other), v.id) AS grp FROM v LEFT JOIN m ON m.t = v.t AND m.id = v.id),
+l AS (SELECT DISTINCT d.t, a.grp AS src, b.grp AS dst FROM d JOIN g a ON a.t = d.t AND a.id = d.src JOIN g b ON b.t = d.t AND b.id = d.dst WHERE a.grp <> b.grp),
+ways AS (SELECT DISTINCT t, grp, 0 AS depth FROM g UNION SELECT w.t, l.dst, w.depth + 1 FROM ways w JOIN l ON l.t = w.t AND l.src = w.grp),
+lv AS (SELECT t, grp, max(depth) AS depth FROM ways GROUP BY 1, 2)"""
+
+
+@query("g15_system_dependencies", f"""WITH RECURSIVE {REACH.format(edges="edges")},
+prev AS (SELECT a.t, a.grp, a.depth, min(b.grp) AS after FROM lv a LEFT JOIN l ON l.t = a.t AND l.dst = a.grp LEFT JOIN lv b ON b.t = l.t AND b.grp = l.src AND b.depth = a.depth - 1 GROUP BY 1, 2, 3),
+path AS (SELECT * FROM (SELECT t, grp, depth, after FROM prev QUALIFY row_number() OVER (PARTITION BY t ORDER BY depth DESC, grp) = 1) z UNION SELECT q.t, q.grp, q.depth, q.after FROM path p JOIN prev q ON q.t = p.t AND q.grp = p.after),
+c AS (SELECT DISTINCT vehicle_signature AS t, src AS id FROM part_of WHERE is_critical)
+SELECT g.t AS vehicle_signature, g.grp AS "group", count(*) AS members, count(c.id) AS critical, (SELECT count(*) FROM l WHERE l.t = g.t AND l.dst = g.grp) AS parents, (SELECT count(*) FROM l WHERE l.t = g.t AND l.src = g.grp) AS children,
+  any_value(lv.depth)::BIGINT AS depth, any_value(p.depth)::BIGINT AS path_step
+FROM g JOIN lv ON lv.t = g.t AND lv.grp = g.grp LEFT JOIN c ON c.t = g.t AND c.id = g.id LEFT JOIN path p ON p.t = g.t AND p.grp = g.grp GROUP BY g.t, g.grp""", ("edges", "part_of"))
+def _(t):
+    critical = t.part_of.filter("is_critical").select("vehicle_signature", F.col("src").alias("id"))
+    return dependency.system_dependencies(t.edges, critical)
+
+
+@query("g15_circuit_hierarchy", f"""WITH RECURSIVE dep AS (SELECT DISTINCT p.vehicle_signature, a.dst AS src, b.dst AS dst FROM powered_by p JOIN part_of a ON a.src = p.src AND a.vehicle_signature = p.vehicle_signature AND a.is_critical JOIN part_of b ON b.src = p.dst AND b.vehicle_signature = p.vehicle_signature WHERE a.dst <> b.dst),
+{REACH.format(edges="dep")}
+SELECT m.vehicle_signature, m.dst AS circuit_id, count(*) AS component_count, count(*) FILTER (is_critical) AS critical_count, count(*) FILTER (NOT is_critical) AS other_count,
+  (SELECT count(*) FROM dep WHERE dep.vehicle_signature = m.vehicle_signature AND dep.src = m.dst) AS parent_circuits, (SELECT count(*) FROM dep WHERE dep.vehicle_signature = m.vehicle_signature AND dep.dst = m.dst) AS child_circuits,
+  coalesce(any_value(lv.depth), 0)::BIGINT AS dependency_depth
+FROM part_of m LEFT JOIN g ON g.t = m.vehicle_signature AND g.id = m.dst LEFT JOIN lv ON lv.t = g.t AND lv.grp = g.grp GROUP BY m.vehicle_signature, m.dst""", ("part_of", "powered_by"))
+def _(t):
+    depends = cut(dependency.circuit_dependencies(t.part_of, t.powered_by))
+    return dependency.circuit_hierarchy(t.part_of, depends)
