@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.blocks import CO_LOCATED, Blocks, settings, split_block
+from wirelake.llm.blocks import CO_LOCATED, Blocks, settings
 from wirelake.session import cut
 
 #: Characters of text, if no single text has more, that one step aligns; pairs that a task counts before it passes them on.
@@ -263,17 +263,17 @@ def alignment_counts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_
             found = token_groups(docs, path_a, path_b, key, text)
             digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
             facts = [F.col(key).alias("key"), "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256")]
-            rows = blocks.write(found.select(split_block(blocks.keys).alias("block"), F.monotonically_increasing_id().alias("row"), *facts, "pairs", "times"))
+            rows = blocks.write(found.select(*blocks.place(), *facts, "pairs", "times"))
             counted = rows.select("block", "pairs").mapInArrow(partial_counts, "block long, pair long, n long")
             counted = cut(counted.groupBy("block", "pair").agg(F.sum("n").alias("n")))
             totals = cut(counted.groupBy("pair").agg(F.sum("n").alias("f")).withColumn("a", F.shiftright("pair", 32)))
             best = totals.groupBy("a").agg(F.max("f").alias("most"))
             judged = totals.join(best, "a").select("pair", "f", (F.col("f") == F.col("most")).alias("best"))
             asked = blocks.to_blocks(counted.select("block", "pair").join(judged, "pair"))
-            links = rows.select("block", "row", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
+            links = rows.select("block", "seg", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
             valued = links.join(asked.hint("shuffle_hash"), ["block", "pair"])
-            sums = valued.groupBy("block", "row").agg(F.sum(F.col("times") * F.col("f")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
-            whole = rows.drop("pairs", "times").join(sums.hint("shuffle_hash"), ["block", "row"], "left")
+            sums = valued.groupBy("block", "seg").agg(F.sum(F.col("times") * F.col("f")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
+            whole = rows.drop("pairs", "times").join(sums.hint("shuffle_hash"), ["block", "seg"], "left")
             zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
             out = whole.select("key", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
             return cut(out).withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.blocks import CO_LOCATED, Blocks, settings, split_block
+from wirelake.llm.blocks import CO_LOCATED, Blocks, settings
 from wirelake.scale import top_rows
 from wirelake.session import cut
 
@@ -15,6 +15,8 @@ from wirelake.session import cut
 ENDS = ".,;:!?\x0b\x0c\r"
 #: A text of more characters is dealt out in slices of so many words and breaks.
 LONG, SLICE = 65_536, 8_192
+#: Places of a text or slice; more than it has words and breaks.
+PLACES = 65_536
 #: A phrase goes when a longer one around it has at least this percentage of its count.
 COVERED_PERCENT = 50
 
@@ -40,9 +42,14 @@ def slices_of(docs: DataFrame, lang: str, text: str, overlap: int) -> DataFrame:
 
 
 def word_places(texts: DataFrame) -> DataFrame:
-    """``block, seg, lang, at, own, word``: a row per word.  A break takes a place, so words of two pieces are never adjacent."""
-    every = texts.select("block", "seg", "lang", "owned", F.posexplode(F.split("words", " ")).alias("at", "word"))
-    return every.filter("word <> '' AND word <> '\n'").select("block", "seg", "lang", "at", (F.col("at") < F.col("owned")).alias("own"), "word")
+    """``block, lang, at, own, word``: a row per word.
+
+    ``at`` is the place in the block: the text's number and the word's.  A break takes a place, and a text has
+    fewer than ``PLACES``, so words of two pieces or texts are never adjacent.
+    """
+    every = texts.select("block", "seg", "lang", "owned", F.posexplode(F.split("words", " ")).alias("no", "word"))
+    at = (F.col("seg") * PLACES + F.col("no")).alias("at")
+    return every.filter("word <> '' AND word <> '\n'").select("block", "lang", at, (F.col("no") < F.col("owned")).alias("own"), "word")
 
 
 def frequent(counted: DataFrame, group: list[str], least: int) -> DataFrame:
@@ -67,7 +74,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 1
     blocks = Blocks.of_splits(source)
     try:
         with settings(spark, CO_LOCATED):
-            texts = blocks.write(source.select(split_block(blocks.keys).alias("block"), F.monotonically_increasing_id().alias("seg"), "lang", "owned", "words"))
+            texts = blocks.write(source.select(*blocks.place(), "lang", "owned", "words"))
             places = word_places(texts)
             counted = cut(places.filter("own").groupBy("block", "lang", "word").agg(F.count(F.lit(1)).alias("n")))
             totals = cut(counted.groupBy("lang").agg(F.sum("n").alias("n")))
@@ -79,11 +86,11 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 1
                 # the semi-join: of the occurrences of the last length only those of frequent groups go on, by their numbers
                 asked = blocks.to_blocks(words.select("block", *group, "id"))
                 kept = occurrences.join(asked.hint("shuffle_hash"), ["block", *group])
-                relation = blocks.write(kept.select("block", "seg", "at", "own", "id"), "seg", "at")
+                relation = blocks.write(kept.select("block", "at", "own", "id"), "at")
                 blocks.drop(length - 2)
-                one = relation.select("block", "seg", (F.col("at") + 1).alias("at"), F.col("id").alias("a"), "own")
-                two = relation.select("block", "seg", "at", F.col("id").alias("b"))
-                occurrences = one.join(two.hint("merge"), ["block", "seg", "at"]).select("block", "seg", (F.col("at") - 1).alias("at"), "own", "a", "b")
+                one = relation.select("block", (F.col("at") + 1).alias("at"), F.col("id").alias("a"), "own")
+                two = relation.select("block", "at", F.col("id").alias("b"))
+                occurrences = one.join(two.hint("merge"), ["block", "at"]).select("block", (F.col("at") - 1).alias("at"), "own", "a", "b")
                 group, number = ["a", "b"], F.count(F.lit(1))
                 if length < longest:
                     counted = cut(occurrences.filter("own").groupBy("block", *group).agg(number.alias("n")))
