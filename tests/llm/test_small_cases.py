@@ -474,6 +474,9 @@ def vector_rows(spark, seed=0):
     rows = [(i, rng.standard_normal(16).tolist()) for i in range(120)]
     rows += [(200 + i, (np.array(rows[i % 5][1]) + 0.03 * rng.standard_normal(16) * (1 + i % 4)).tolist()) for i in range(60)]
     rows += [(300, rows[3][1]), (301, rows[3][1]), (301, rows[3][1]), (None, rows[3][1]), (302, None), (303, [0.0] * 16), (304, [float("nan")] * 16), (305, [1.0, None] * 8), (306, [1.0, 2.0]), (350, [])]
+    # squares of these pass the range of doubles, and those of the last one's parts lie far apart
+    rows += [(310 + k, (np.array(rows[k][1]) * f).tolist()) for k, f in enumerate((2.0**-560, 2.0**560, 2.0**-1000, 2.0**1000, 2.0**-1010))]
+    rows += [(400, [1e200] + [1e-200] * 15), (401, [1e-5] + [0.0] * 15)]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
 
@@ -484,7 +487,7 @@ def valid(x):
 def cosine(a, b):
     if len(a) != len(b):
         return -2.0
-    a, b = np.array(a), np.array(b)
+    a, b = vectors.scaled(np.array([a, b]))
     return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
 
 

@@ -20,8 +20,8 @@ from wirelake.session import cut
 U64 = np.uint64
 #: Tokens that a task counts before it sends the counts on, and occurrences of a shard of pairs.
 CHUNK, SHARD = 1_000_000, 4_000_000
-#: Shards of the vocabulary.
-WORD_SHARDS = 64
+#: Bytes of text for which the vocabulary gets a shard, and how many shards it has at least.
+WORD_BYTES, LEAST_SHARDS = 16 << 20, 64
 #: The end of a text; the word hash of a byte string that no word can be.
 END = b"\n"
 
@@ -103,9 +103,9 @@ class Arrays:
         """Id (-1: unknown) and training count of each word hash."""
         each, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(each), -1, np.int64), np.zeros(len(each), np.int64)
-        bits = WORD_SHARDS.bit_length() - 1
-        bounds = np.searchsorted(shard_of(each, bits), np.arange(WORD_SHARDS + 1))
-        for shard in range(WORD_SHARDS):
+        shards = len(self.model.word_base) - 1
+        bounds = np.searchsorted(shard_of(each, shards.bit_length() - 1), np.arange(shards + 1))
+        for shard in range(shards):
             a, b = bounds[shard], bounds[shard + 1]
             if a < b and self.model.word_base[shard] < self.model.word_base[shard + 1]:
                 known = self.get(f"word-{shard}")
@@ -215,7 +215,8 @@ def train(texts: DataFrame) -> Model:
     """
     folder = shared_folder(texts.sparkSession, "ngrams")
     texts = texts.select(F.col("text").cast("string").alias("text"))
-    bits = WORD_SHARDS.bit_length() - 1
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (max(LEAST_SHARDS, -(-size // WORD_BYTES)) - 1).bit_length()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -232,7 +233,7 @@ def train(texts: DataFrame) -> Model:
     blobs = "shard int, keys binary, counts binary"
     found = {r["shard"]: r for r in texts.mapInArrow(words, blobs).groupBy("shard").applyInArrow(word_shard, "shard int, n bigint, total bigint").collect()}
     base = [0]
-    for shard in range(WORD_SHARDS):
+    for shard in range(1 << bits):
         base.append(base[-1] + (found[shard]["n"] if shard in found else 0))
     tokens = sum(r["total"] for r in found.values())
     if not tokens:

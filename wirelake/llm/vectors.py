@@ -26,6 +26,17 @@ def matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim).astype(kind, copy=False)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest component lies in 0.5 .. 1: no square overflows, none that counts vanishes.
+
+    Such a factor changes neither a cosine nor, in the usual range, any bit of how it is computed.
+    """
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    # in two steps, as the factor itself can be out of range
+    half = -exponent // 2
+    return np.ldexp(np.ldexp(x, half[:, None]), (-exponent - half)[:, None])
+
+
 def packed_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """``id, dim, x``: usable vectors as rows of little-endian doubles."""
 
@@ -143,6 +154,7 @@ def nearest(rows: DataFrame, queries: Column, key: str, vector: str, k: int = 5,
         ids, x = held.column("id").to_numpy(), matrix(held.column("x"), dim)
         out: list[tuple[int, int, float]] = []
         if side.any() and not side.all():
+            x = scaled(x)
             raw_q, raw_c, ids_q, ids_c = x[side], x[~side], ids[side], ids[~side]
             norm_q, norm_c = np.sqrt((raw_q**2).sum(1)), np.sqrt((raw_c**2).sum(1))
             order = np.argsort(ids_c, kind="stable")
@@ -222,6 +234,7 @@ def pairs_in_block(x: np.ndarray, keys: np.ndarray, group: np.ndarray, tables: n
 
     ``cross`` is 0 where all pairs of a tile count, else 1 or 2: then only pairs of different sides.
     """
+    x = scaled(x)
     norm = np.sqrt((x**2).sum(1))
     unit = x / norm[:, None]
     i, j = np.nonzero(np.triu((unit @ unit.T >= cosine - 1e-9) & (group[:, None] == group[None, :]), 1))
@@ -279,7 +292,8 @@ def near_vectors(rows: DataFrame, key: str, vector: str, cosine: float = 0.95, m
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = matrix(part.column("x"), int(dim))
-                keys = bucket_keys(x / np.sqrt((x**2).sum(1))[:, None], depth, tables)
+                unit = scaled(x)
+                keys = bucket_keys(unit / np.sqrt((unit**2).sum(1))[:, None], depth, tables)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("cid"), part.column("dim"), part.column("copies"), part.column("x"), pa.array([k.tobytes() for k in keys], pa.binary()),
                      pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["cid", "dim", "copies", "x", "keys", "buckets"])
