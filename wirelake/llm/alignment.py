@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelake.llm.blocks import CO_LOCATED, Blocks, settings
+from wirelake.llm.common import slices
 from wirelake.session import cut
 
 #: Characters of text, if no single text has more, that one step aligns; pairs that a task counts before it passes them on.
-STEP, HELD = 8_000_000, 1_000_000
+STEP, HELD = 3_000_000, 500_000
 #: Where a text is cut into parts, and what a part ends in for that; parts that are encoded together.
 PART, SAFE, RUN = re.compile(r"(?<=[\w.,;:!?])(?= +[^ ])"), re.compile(r"[\w.,;:!?]$"), 5000
 #: Room for ids of the second tokenizer in the number of a pair.
@@ -218,7 +219,7 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
     kind = docs.schema[key].dataType.simpleString()
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             upto = np.cumsum([len(t) for t in texts])
             at = 0
