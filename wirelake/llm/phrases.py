@@ -22,10 +22,11 @@ COVERED_PERCENT = 50
 
 
 def marked(text: Column) -> Column:
-    """A-Z in lower case, a line feed between blanks for each end of a piece, and single blanks."""
+    """A-Z in lower case, single blanks between words, and a line feed between blanks for each end of a piece."""
     old, new = string.ascii_uppercase + "\t" + ENDS, string.ascii_lowercase + " " + "\n" * len(ENDS)
-    plain = F.replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), old, new), F.lit("\n"), F.lit(" \n "))
-    return F.regexp_replace(plain, " {2,}", " ")
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), old, new)
+    single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+    return F.replace(single, F.lit("\n"), F.lit(" \n "))
 
 
 def slices_of(docs: DataFrame, lang: str, text: str, overlap: int) -> DataFrame:
