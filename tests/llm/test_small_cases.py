@@ -243,11 +243,20 @@ def test_long_lines_meet_only_their_copies(spark):
     rng = np.random.default_rng(5)
     alone = ["".join(map(chr, rng.integers(97, 123, 300_000))) for _ in range(8)]
     assert linked_lines(spark, alone + [alone[3] + "z", "a" + alone[6]]) == {**{i: i for i in range(8)}, 8: 3, 9: 6}
-    table = spark.createDataFrame([(1, i, x.encode("utf-16-be")) for i, x in enumerate(alone)], "block long, cid long, code binary")
-    keys = [k for r in lines.signatures(table).collect() for k in r["keys"]]
+    keys = lines.sketch(alone)[0].ravel().tolist()
     assert len(set(keys)) == len(keys)
 
 
+def test_line_sketches_estimate_the_similarity():
+    rng = np.random.default_rng(6)
+    chars = "".join(map(chr, rng.integers(97, 123, 4000)))
+    a, b = chars[:3000], chars[500:3500]
+    keys, bits = lines.sketch([a, b, a, "short", "short", "shorT", "x" * 8, "x" * 80])
+    assert (keys[0] == keys[2]).all() and (keys[3] == keys[4]).all() and (keys[3] != keys[5]).all() and (keys[6] == keys[7]).all()
+    differ = bin(int(bits[0] ^ bits[1]) & (1 << 64) - 1).count("1")
+    assert abs(2 * differ / (lines.BANDS * lines.ROWS) - (1 - 2493 / 3493)) < 0.25
+
+
 def test_short_lines_stay_once(spark):
     texts = ["Read more\na first line that is long enough\n\n \t\n你好,世界", " read more \n\n你好,世界\nmenu", "read mores\n\nmenu\nmenu", None, ""]
     table = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
