@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wirelake.functions import geometry as geo
 from wirelake.functions import text as tx
-from wirelake.operators import chunking, evaluate, graph, joins, layout, ranking, schematic, search
+from wirelake.operators import chunking, evaluate, graph, ivfpq, joins, layout, ranking, schematic, search
 from wirelake.sources import readers, upsert, writers
 
 
@@ -216,14 +216,28 @@ def test_box_functions(spark):
 # ---- search, layout, sources -------------------------------------------------------------------
 
 
-def test_ann_with_all_cells_is_exact(spark):
+def test_ann_with_all_lists_is_exact(spark):
     rng = random.Random(6)
     v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)], "vec_id bigint, embedding array<double>")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.vec_id) for r in search.cosine_topk(q, v, 4).collect()}
-    assert {(r.query_id, r.vec_id) for r in search.ann_topk(q, v, 4, cells=5, nprobe=5).collect()} == exact
+    assert {(r.query_id, r.vec_id) for r in ivfpq.ivf_topk(q, v, 4, probe=1.0, refine=30).collect()} == exact
+    odd = v.unionByName(spark.createDataFrame([(900, None), (901, [0.0] * 8), (902, [1.0]), (903, [float("nan")] * 8)], v.schema))
+    found = ivfpq.ivf_topk(odd.select(F.col("vec_id").alias("query_id"), "embedding"), odd, 4, probe=1.0, refine=40)
+    assert {(r.query_id, r.vec_id) for r in found.filter("query_id < 900").collect()} == exact
+    assert ivfpq.ivf_topk(q.limit(0), v, 4).count() == 0 and ivfpq.ivf_topk(q, v.limit(0), 4).count() == 0
 
 
+def test_ann_cuts_crowded_lists(spark, monkeypatch):
+    """Half of all vectors in one list, shards of 16 and blocks of 8: the answers have the exact scores."""
+    monkeypatch.setattr(ivfpq, "SHARD", 16)
+    monkeypatch.setattr(ivfpq, "QUERIES", 8)
+    rng = random.Random(7)
+    rows = [(i, [1 + rng.gauss(0, 0.01)] + [rng.gauss(0, 0.01) for _ in range(7)]) for i in range(150)] + [(200 + i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    assert ivfpq.recall(ivfpq.ivf_topk(q, v, 5, probe=0.6, refine=20), search.cosine_topk(q, v, 5)).first().recall >= 0.9
+
 def test_keyword_and_sparse(spark):
     docs = spark.createDataFrame([(1, "Starter relay K1"), (2, "fuel pump relays"), (3, "ground")], "id int, text string")
     q = spark.createDataFrame([("a", "relay start"), ("b", "pump")], "query_id string, text string")

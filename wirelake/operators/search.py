@@ -6,7 +6,10 @@ payload columns; ``queries``: ``query_id, embedding``.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from wirelake.functions import text as tx
 from wirelake.operators.filters import Filter, apply_filters, literal_map
 from wirelake.operators.tiles import tiled_topk
 from wirelake.scale import top_rows
+from wirelake.session import cut
 
 
 def _unit(column) -> np.ndarray:
@@ -69,32 +73,6 @@ def multi_collection_topk(queries: DataFrame, vectors: DataFrame, k: int, collec
     return hits.select(part.getItem(1).cast(q).alias("query_id"), part.getItem(0).cast(v).alias(collection), F.col("right_id").alias("vec_id"), "score", "rank")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def unit(column: str) -> Column:
-    v = F.transform(column, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
-
-
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, nprobe: int = 4) -> DataFrame:
-    """Approximate search: vectors are grouped by k-means, a query looks into its ``nprobe`` nearest
-    groups and scores those exactly.  ``nprobe = cells`` is the exact answer."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.select("vec_id", unit("embedding").alias("u"))
-    model = KMeans(k=cells, seed=7, maxIter=10, featuresCol="f", predictionCol="cell").fit(v.withColumn("f", array_to_vector("u")))
-    filed = model.transform(v.withColumn("f", array_to_vector("u"))).select("vec_id", "u", "cell")
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "vec_id int, embedding array<double>")
-    near = cosine_topk(queries, centres, nprobe).select("query_id", F.col("vec_id").alias("cell"))
-    asked = queries.select("query_id", unit("embedding").alias("q")).join(near, "query_id")
-    scored = asked.join(filed, "cell").select("query_id", "vec_id", F.round(_dot(F.col("q"), F.col("u")), 6).alias("score"))
-    return top_rows(scored, "query_id", [F.col("score").desc(), F.col("vec_id")], k)
-
-
 # ---- words -----------------------------------------------------------------------------------
 
 
@@ -107,21 +85,54 @@ def inverted_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).alias("doc_id"), F.explode(terms_of(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def prefix_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``asked, term, df``: for each different ``asked`` the terms that begin with it.
+
+    The dictionary is sorted into ranges of terms; a prefix goes to the ranges it can begin in, from the first term it begins
+    to the last, and finds its terms there as one stretch of the sorted terms.  No prefix of a term is written down.
+    """
+    parts = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dictionary = cut(vocabulary.repartitionByRange(parts, "term").select("term", "df", F.spark_partition_id().alias("range")))
+    ranges = dictionary.groupBy("range").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    meets = (F.col("high") >= F.col("asked")) & ((F.col("low") <= F.col("asked")) | F.startswith("low", F.col("asked")))
+    sent = cut(asked.select("asked").distinct().join(F.broadcast(ranges), meets).select("range", "asked"))  # one row per partition
+
+    def stretch(words: pa.Table, terms: pa.Table) -> pa.Table:
+        # bytes are ordered as Spark orders strings
+        raw = sorted(zip((t.encode() for t in terms.column("term").to_pylist()), range(terms.num_rows), strict=True))
+        keys, place = [t for t, _ in raw], np.array([i for _, i in raw], np.int64)
+        found = []
+        for i, word in enumerate(words.column("asked").to_pylist()):
+            low, high = bisect.bisect_left(keys, word.encode()), bisect.bisect_left(keys, word.encode() + b"\xff")
+            found.append((np.full(high - low, i), place[low:high]))
+        own, other = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (list(zip(*found, strict=True)) or [(), ()]))
+        hit = terms.take(pa.array(other, pa.int64()))
+        return pa.table({"asked": words.column("asked").take(pa.array(own, pa.int64())), "term": hit.column("term"), "df": hit.column("df")})
+
+    return sent.groupBy("range").cogroup(dictionary.groupBy("range")).applyInArrow(stretch, "asked string, term string, df long")
+
+
 def sparse_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Documents in which every query term is the start of some word, best first.
 
-    ``queries``: ``query_id, text``; score: sum over the matched words of ``tf * ln(1 + N / df)``.
-    Prefixes are resolved against the vocabulary, which is much smaller than the postings.
+    ``queries``: ``query_id, text``; score: sum over the matched words of ``tf * ln(1 + N / df)``.  Candidates
+    come from the query term with the fewest postings alone; only their words are then compared with the other terms, so the
+    postings of frequent terms are read for few documents.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("asked"))
-    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("asked")))
+    index = cut(index)
     total = index.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("_total")).withColumn("_g", F.lit(1))
-    vocabulary = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    prefixes = vocabulary.select("term", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substr(F.col("term"), F.lit(1), n))).alias("asked"))
-    words = asked.join(prefixes, "asked")
-    hits = words.join(index, "term").withColumn("_g", F.lit(1)).join(F.broadcast(total), "_g")
+    words = cut(prefix_terms(asked, index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))))
+    reach = words.groupBy("asked").agg(F.sum("df").alias("postings"))
+    # a query with a term that no word begins with has no answer
+    sized = asked.join(reach, "asked", "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_need"), F.count("postings").alias("_met"), F.min(F.struct("postings", "asked")).alias("rarest"))
+    open_ = cut(sized.filter("_need = _met").select("query_id", "_need", F.col("rarest.asked").alias("asked")))
+    candidates = cut(open_.select("query_id", "asked").join(words.select("asked", "term"), "asked").join(index.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct())
+    terms = asked.join(open_.select("query_id"), "query_id", "left_semi").join(words, "asked")
+    hits = candidates.join(index, "doc_id").join(terms, ["query_id", "term"]).withColumn("_g", F.lit(1)).join(F.broadcast(total), "_g")  # one row
     per_term = hits.groupBy("query_id", "doc_id", "asked").agg(F.sum(F.col("tf") * F.log1p(F.col("_total") / F.col("df"))).alias("s"))
-    scored = per_term.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_have"), F.round(F.sum("s"), 6).alias("score")).join(size, "query_id").filter("_have = _need")
+    scored = per_term.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_have"), F.round(F.sum("s"), 6).alias("score")).join(open_.select("query_id", "_need"), "query_id").filter("_have = _need")
     return top_rows(scored.select("query_id", "doc_id", "score"), "query_id", [F.col("score").desc(), F.col("doc_id")], k)
 
 

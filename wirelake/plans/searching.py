@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from wirelake.functions import text as tx
-from wirelake.operators import layout, ranking
+from wirelake.operators import ivfpq, layout, ranking
 from wirelake.operators import search as op
 from wirelake.plans.registry import query
+from wirelake.session import cut
 
 
 def rd(df, digits, *columns):
@@ -30,7 +31,14 @@ def _(t):
 
 @query("v02_ann_topk")
 def _(t):
-    return op.ann_topk(queries_of(t), vectors(t), 10)
+    return ivfpq.ivf_topk(queries_of(t), vectors(t), 10, probe=0.6, refine=100)
+
+
+@query("v02_ann_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings")
+def _(t):
+    exact = cut(op.cosine_topk(queries_of(t), vectors(t), 10))
+    found = ivfpq.recall(ivfpq.ivf_topk(queries_of(t), vectors(t), 10, probe=0.6, refine=100), exact)
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))
 
 
 @query("v03_similar_items", f"WITH {SIM} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE la=label AND query_id<>vec_id QUALIFY rank<=5")
@@ -43,26 +51,26 @@ def _(t):
     return op.multi_collection_topk(queries_of(t), vectors(t), 2, "label")
 
 
-def long_words(t):
-    """Questions: the long words of each benchmark text."""
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.filter(op.terms_of(F.col("text")), lambda w: F.length(w) >= 12), " ").alias("text")).filter("text <> ''")
+def questions(t):
+    """The benchmark texts as questions: their words without punctuation."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(op.terms_of(F.col("text")), " ").alias("text"))
 
 
 IDX = r"""idx AS (SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text),'[\p{L}\p{N}]+')) AS w FROM documents) d GROUP BY 1,2),
-ask AS (SELECT DISTINCT item_id AS query_id, w AS asked FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),'[\p{L}\p{N}]+')) AS w FROM benchmark) b WHERE length(w)>=12)"""
+ask AS (SELECT DISTINCT item_id AS query_id, w AS asked FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),'[\p{L}\p{N}]+')) AS w FROM benchmark) b)"""
 
 
 @query("v05_sparse_search", f"""WITH {IDX}, df AS (SELECT term, count(*) AS df FROM idx GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS total FROM idx), need AS (SELECT query_id, count(*) AS need FROM ask GROUP BY 1),
 h AS (SELECT query_id, doc_id, count(DISTINCT asked) AS have, round(sum(tf*ln(1+total/df)),6) AS score FROM ask JOIN df ON starts_with(df.term, ask.asked) JOIN idx USING (term), n GROUP BY 1,2)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN need USING (query_id) WHERE have=need QUALIFY rank<=10""")
 def _(t):
-    return op.sparse_search(long_words(t), op.inverted_index(t.documents, "doc_id", "text"), 10)
+    return op.sparse_search(questions(t), op.inverted_index(t.documents, "doc_id", "text"), 10)
 
 
-@query("v06_keyword_score", r"""WITH ask AS (SELECT DISTINCT item_id AS query_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),'[\p{L}\p{N}]+')) AS w FROM benchmark) b WHERE length(w)>=12), n AS (SELECT query_id, count(*) AS n FROM ask GROUP BY 1)
+@query("v06_keyword_score", r"""WITH ask AS (SELECT DISTINCT item_id AS query_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),'[\p{L}\p{N}]+')) AS w FROM benchmark) b), n AS (SELECT query_id, count(*) AS n FROM ask GROUP BY 1)
 SELECT query_id, doc_id, round(count(*)/max(n),8) AS score FROM ask JOIN (SELECT doc_id, lower(text) AS t FROM documents) d ON contains(d.t, ask.w) JOIN n USING (query_id) GROUP BY 1,2""")
 def _(t):
-    return rd(op.keyword_score(long_words(t), t.documents, "doc_id", "text"), 8, "score")
+    return rd(op.keyword_score(questions(t), t.documents, "doc_id", "text"), 8, "score")
 
 
 HITS = "den AS (SELECT user_id AS query_id, event_id % 400 AS doc_id, max(value)/200 AS score FROM events WHERE event_type='click' GROUP BY 1,2), spa AS (SELECT user_id AS query_id, event_id % 400 AS doc_id, max(value)/300 AS score FROM events WHERE event_type='view' GROUP BY 1,2)"
