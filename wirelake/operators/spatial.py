@@ -3,6 +3,8 @@
 A row is filed under the grid cells it touches and meets others by an equi-join on the cell, so
 there is no pairwise comparison of a whole page or vehicle.  Cells as large as the search radius
 keep the copies per row at 9 (plane) or 27 (space).  Spark splits a hot cell when it sees skew.
+Boxes of different sizes are filed in grids of their own, each twice as wide as the one before: a pair
+meets in the grid of its larger box, so one large box neither widens the cells of the small ones nor fills many.
 """
 
 from __future__ import annotations
@@ -39,10 +41,37 @@ def near_pairs(a: DataFrame, b: DataFrame, r: float, key: list[str], axes: str =
     return left.join(right, on).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= r).select(*names, "distance")
 
 
+def _level(extent: Column, base: Column | float) -> Column:
+    """The grid of an object: the first, from 0, whose cells (``base`` times a power of two) are as wide as it."""
+    return F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-300)) / base)), F.lit(0)).cast("int")
+
+
+def _with_levels(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (with ``_level``) with ``_levels``, all grids in use; a size range of 2^1000 has a thousand at most."""
+    used = a.select("_level").unionByName(b.select("_level")).agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
+    return a.crossJoin(F.broadcast(used)), b.crossJoin(F.broadcast(used))  # one row
+
+
+def _flat(df: DataFrame, name: str) -> list[Column]:
+    """The columns of one side under names of their own; they become a struct only after the join."""
+    return [F.col(c).alias(f"{name}__{c}") for c in df.columns]
+
+
+def _nested(df: DataFrame, name: str) -> Column:
+    return F.struct(*[F.col(f"{name}__{c}").alias(c) for c in df.columns]).alias(name)
+
+
+def _in_grids(df: DataFrame, above: int) -> DataFrame:
+    """A row per grid in use from the own one (``above`` = 0), or from the one after it (1)."""
+    return df.withColumn("_g", F.explode(F.filter("_levels", lambda g: g >= F.col("_level") + above))).drop("_levels")
+
+
 def _box_cells(df: DataFrame, size: tuple[float, float], pad: float) -> DataFrame:
-    cx = F.sequence(_cell(F.col("x1") - pad, size[0]), _cell(F.col("x2") + pad, size[0]))
-    cy = F.sequence(_cell(F.col("y1") - pad, size[1]), _cell(F.col("y2") + pad, size[1]))
-    return df.withColumn("_cx", F.explode(cx)).withColumn("_cy", F.explode(cy))
+    """The at most four cells of grid ``_g`` that a box touches when it is grown by ``pad``."""
+    for axis, side in zip("xy", size, strict=True):
+        low, high = (F.floor((F.col(f"{axis}{end}") + grow) / (F.lit(float(side)) * F.pow(F.lit(2.0), "_g"))) for end, grow in ((1, -pad), (2, pad)))
+        df = df.withColumn(f"_c{axis}", F.explode(F.sequence(low, F.greatest(low, high))))
+    return df
 
 
 def cell_size(boxes: DataFrame) -> tuple[float, float]:
@@ -59,13 +88,28 @@ def box_pairs(a: DataFrame, b: DataFrame, key: list[str], size: float | tuple[fl
     common part, so no distinct is needed.
     """
     size = size if isinstance(size, tuple) else (float(size), float(size))
-    left = _box_cells(a, size, pad).select(F.struct(*a.columns).alias(names[0]), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_cx", "_cy")
-    right = _box_cells(b, size, pad).select(F.struct(*b.columns).alias(names[1]), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_cx", "_cy")
-    p, q = F.col(names[0]), F.col(names[1])
-    touch = ((p["x1"] - pad <= q["x2"] + pad) & (q["x1"] - pad <= p["x2"] + pad) & (p["y1"] - pad <= q["y2"] + pad) & (q["y1"] - pad <= p["y2"] + pad))
-    home = (_cell(F.greatest(p["x1"], q["x1"]) - pad, size[0]) == F.col("_cx")) & (_cell(F.greatest(p["y1"], q["y1"]) - pad, size[1]) == F.col("_cy"))
-    on = [f"_k{i}" for i in range(len(key))] + ["_cx", "_cy"]
-    return left.join(right, on).filter(touch & home).select(*names)
+    extent = F.greatest((F.col("x2") - F.col("x1") + 2 * pad) / size[0], (F.col("y2") - F.col("y1") + 2 * pad) / size[1])
+    keys = [f"_k{i}" for i in range(len(key))]
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*_flat(df, name), *[F.col(k).alias(n) for k, n in zip(key, keys, strict=True)], "x1", "y1", "x2", "y2", _level(extent, 1.0).alias("_level"))
+
+    left, right = _with_levels(named(a, names[0]), named(b, names[1]))
+    p, q = (lambda c, name=name: F.col(f"{name}__{c}") for name in names)
+    touch = ((p("x1") - pad <= q("x2") + pad) & (q("x1") - pad <= p("x2") + pad) & (p("y1") - pad <= q("y2") + pad) & (q("y1") - pad <= p("y2") + pad))
+    home = reduce(lambda u, v: u & v, [
+        F.floor((F.greatest(p(f"{axis}1"), q(f"{axis}1")) - pad) / (F.lit(float(side)) * F.pow(F.lit(2.0), "_g"))) == F.col(f"_c{axis}") for axis, side in zip("xy", size, strict=True)])
+    out = [_nested(a, names[0]), _nested(b, names[1])]
+    on = [*keys, "_g", "_cx", "_cy"]
+
+    def met(here: DataFrame, there: DataFrame, above: int) -> DataFrame:
+        """Boxes in their own grid with those of the same and finer grids."""
+        one = _box_cells(here.withColumn("_g", F.col("_level")), size, pad)
+        two = _box_cells(_in_grids(there, above), size, pad)
+        drop = ["x1", "y1", "x2", "y2", "_level", "_levels"]
+        return one.drop(*drop).join(two.drop(*drop), on).filter(touch & home).select(*out)
+
+    return met(left, right, 0).unionByName(met(right, left, 1))
 
 
 def nearest_pin(labels: DataFrame, pins: DataFrame, key: list[str], max_d: float = 20.0) -> DataFrame:
@@ -90,11 +134,16 @@ def component_nets(detections: DataFrame, segments: DataFrame, key: list[str], t
     """
     ends = segments.select(*key, "net_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")),
                                                              F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
-    points = ends.select(*key, "net_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct().withColumn(
-        "_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
-    boxes = _box_cells(detections.select(*key, "comp_id", "x1", "y1", "x2", "y2"), (size, size), tol)
+    points = ends.select(*key, "net_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+    extent = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * tol
+    boxes = detections.select(*key, "comp_id", "x1", "y1", "x2", "y2").withColumn("_level", _level(extent, size))
+    points, boxes = _with_levels(points.withColumn("_level", F.lit(0)), boxes)
+    boxes = _box_cells(boxes.drop("_levels").withColumn("_g", F.col("_level")), (size, size), tol).drop("_level")
+    points = _in_grids(points, 0).drop("_level")
+    for axis in "xy":
+        points = points.withColumn(f"_c{axis}", F.floor(F.col(axis) / (size * F.pow(F.lit(2.0), "_g"))))
     inside = F.col("x").between(F.col("x1") - tol, F.col("x2") + tol) & F.col("y").between(F.col("y1") - tol, F.col("y2") + tol)
-    return points.join(boxes, [*key, "_cx", "_cy"]).filter(inside).select(*key, "comp_id", "net_id").distinct()
+    return points.join(boxes, [*key, "_g", "_cx", "_cy"]).filter(inside).select(*key, "comp_id", "net_id").distinct()
 
 
 def net_label_pairs(segments: DataFrame, spans: DataFrame, key: list[str], max_d: float = 30.0, size: float = 100.0) -> DataFrame:
@@ -150,35 +199,52 @@ def spatial_clusters(components: DataFrame, r: float = 300.0, min_size: int = 2)
 
 
 def overlap_check(new: DataFrame, placed: DataFrame, clearance: float = 50.0) -> DataFrame:
-    """Nearest placed component that is closer than half of both sizes plus the clearance.
-
-    The largest size in the data gives the search radius.
-    """
+    """Nearest placed component that is closer than half of both sizes plus the clearance."""
     columns = ["id", TENANT, "x", "y", "z", "size"]
-    largest = new.select("size").unionByName(placed.select("size")).agg(F.max("size")).first()[0] or 0.0
-    pairs = near_pairs(new.select(*columns), placed.select(*columns), float(largest) + clearance, [TENANT], "xyz")
-    need = (F.col("a.size") + F.col("b.size")) / 2 + clearance
-    hits = pairs.filter((F.col("a.id") != F.col("b.id")) & (F.col("distance") < need))
+    reach = lambda c: F.coalesce(F.col(f"{c}.size"), F.lit(0.0))
+    pairs = _sized_pairs(new.select(*columns), placed.select(*columns), [TENANT], F.coalesce("size", F.lit(0.0)) + clearance)
+    need = (reach("a") + reach("b")) / 2 + clearance
+    distance = F.sqrt(reduce(lambda u, v: u + v, [(F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"]))
+    hits = pairs.withColumn("distance", distance).filter((F.col("a.id") != F.col("b.id")) & (F.col("distance") < need))
     best = hits.groupBy(F.col("a.id").alias("id")).agg(
         F.min_by(F.struct("distance", F.col("b.id").alias("conflict_id")), F.struct("distance", F.col("b.id"))).alias("m"),
         F.count(F.lit(1)).alias("conflicts"))
     return best.select("id", "m.conflict_id", "m.distance", "conflicts")
 
 
+def _sized_pairs(a: DataFrame, b: DataFrame, key: list[str], extent: Column) -> DataFrame:
+    """``a, b``: all pairs of equal ``key`` whose centres are, on each axis, at most the larger ``extent`` apart, and some more.
+
+    A row is in one cell of its own grid; rows of the same and finer grids look into the 27 cells around them there.
+    """
+    base = a.select(extent.alias("e")).unionByName(b.select(extent.alias("e"))).filter("e > 0").agg(F.coalesce(F.percentile_approx("e", 0.5), F.lit(1.0)).alias("_base"))
+    keys = [f"_k{i}" for i in range(len(key))]
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        made = df.select(*_flat(df, name), *[F.col(k).alias(n) for k, n in zip(key, keys, strict=True)], "x", "y", "z", extent.alias("_e"))
+        return made.crossJoin(F.broadcast(base)).withColumn("_level", _level(F.col("_e"), F.col("_base")))  # one row
+
+    left, right = _with_levels(named(a, "a"), named(b, "b"))
+    cell = lambda c: F.floor(F.col(c) / (F.col("_base") * F.pow(F.lit(2.0), "_g")))
+    on = [*keys, "_g", "_cx", "_cy", "_cz"]
+    drop = ["x", "y", "z", "_e", "_base", "_level", "_levels"]
+
+    def met(here: DataFrame, there: DataFrame, above: int) -> DataFrame:
+        one, two = here.withColumn("_g", F.col("_level")), _in_grids(there, above)
+        for c in "xyz":
+            one = one.withColumn(f"_c{c}", cell(c))
+            two = two.withColumn(f"_c{c}", F.explode(F.array(*[cell(c) + d for d in (-1, 0, 1)])))
+        return one.drop(*drop).join(two.drop(*drop), on).select(_nested(a, "a"), _nested(b, "b"))
+
+    return met(left, right, 0).unionByName(met(right, left, 1))
+
+
 def collisions(boxes: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of 3-D boxes (centre ``x,y,z``, extents ``dx,dy,dz``) that touch; the largest extent gives the grid."""
-    size = float(boxes.agg(F.max(F.greatest("dx", "dy", "dz"))).first()[0] or 0.0) or 1.0
-    cells = boxes
-    for a in "xyz":
-        cells = cells.withColumn(f"_c{a}", _cell(F.col(a), size))
-    other = boxes
-    for a in "xyz":
-        other = other.withColumn(f"_c{a}", F.explode(F.array(*[_cell(F.col(a), size) + d for d in (-1, 0, 1)])))
-    on = [*key, "_cx", "_cy", "_cz"]
-    left = cells.select(*on, F.struct(*boxes.columns).alias("a"))
-    right = other.select(*on, F.struct(*boxes.columns).alias("b"))
+    """Pairs of 3-D boxes (centre ``x,y,z``, extents ``dx,dy,dz``) that touch."""
+    pairs = _sized_pairs(boxes, boxes, key, F.greatest("dx", "dy", "dz"))
     hit = reduce(lambda u, v: u & v, [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= (F.col(f"a.d{c}") + F.col(f"b.d{c}")) / 2 for c in "xyz"])
-    return left.join(right, on).filter((F.col("a.id") < F.col("b.id")) & hit).select(*key, F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    found = pairs.filter((F.col("a.id") < F.col("b.id")) & hit)
+    return found.select(*[F.col(f"a.{k}").alias(k) for k in key], F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
 def scene_dataset(components: DataFrame, edges: DataFrame) -> DataFrame:
