@@ -313,8 +313,8 @@ def test_graphml_file(spark, tmp_path):
 
 def test_hub_form_keeps_large_nets(spark):
     df = spark.createDataFrame([("gnd", f"c{i}") for i in range(30)] + [("n", "a"), ("n", "b")], "net string, component_id string")
-    got = writers.net_clique_edges(df, 10).groupBy("form").count().collect()
-    assert {r["form"]: r["count"] for r in got} == {"hub": 30, "pair": 1}
+    got = writers.net_hub_edges(df.unionByName(df)).groupBy("net").count().collect()
+    assert {r["net"]: r["count"] for r in got} == {"gnd": 30, "n": 2}
 
 
 def test_shortest_path_nodes_are_a_path(spark, net):
@@ -328,3 +328,35 @@ def test_shortest_path_nodes_are_a_path(spark, net):
         assert r.path_nodes[0] == r.source and r.path_nodes[-1] == r.target
         assert len(r.path_nodes) == len(r.path_relationships) + 1 == r.path_length + 1
         assert all(frozenset(s) in ways for s in zip(r.path_nodes, r.path_nodes[1:]))
+
+
+# ---- ids that repeat over pages, stored resistance, export of pairs -----------------------------
+
+
+def test_pages_number_their_segments_alone(spark):
+    rows = [(page, f"s{i}", *at, 1.0, 0.9) for page, shift in ((1, 0.0), (2, 500.0)) for i, at in enumerate([(0.0, shift, 50.0, shift), (55.0, shift, 100.0, shift), (300.0, shift, 300.0, shift + 80)])]
+    rows[3] = (2, "s0", 0.0, 900.0, 50.0, 900.0, 1.0, 0.9)  # on page 2 the first two are not in line
+    df = spark.createDataFrame(rows, "page int, seg_id string, x1 double, y1 double, x2 double, y2 double, thickness double, confidence double")
+    merged = {(r.page, r.seg_id, r.parts, r.x1, r.x2) for r in schematic.merge_collinear(df, ["page"]).collect()}
+    assert merged == {(1, "s0", 2, 0.0, 100.0), (1, "s2", 1, 300.0, 300.0), (2, "s0", 1, 0.0, 50.0), (2, "s1", 1, 55.0, 100.0), (2, "s2", 1, 300.0, 300.0)}
+    lines = spark.createDataFrame([(1, "1:j", "s0"), (1, "1:j", "s1"), (2, "2:j", "s1"), (2, "2:j", "s2")], "page int, junction_id string, seg_id string")
+    nets = {(r.page, r.seg_id): r.net_id for r in schematic.trace_nets(df, lines, ["page"]).collect()}
+    assert nets == {(1, "s0"): "s0", (1, "s1"): "s0", (1, "s2"): "s2", (2, "s0"): "s0", (2, "s1"): "s1", (2, "s2"): "s1"}
+
+
+def test_stored_resistance(spark):
+    edges = spark.createDataFrame([("V", "b", "m", "CONNECTS_TO", 0.5), ("V", "m", "l", "CONNECTS_TO", None), ("V", "m", "l", "POWERED_BY", 2.0)],
+                                  "vehicle_signature string, src string, dst string, rel_type string, resistance double")
+    parts = spark.createDataFrame([("b", "battery", "V"), ("m", "relay", "V"), ("l", "lamp", "V")], "id string, type string, vehicle_signature string")
+    got = graph.path_efficiency(edges, parts).first()
+    assert got.path_count == 3 and got.avg_resistance == pytest.approx((0.5 + 0.6 + 2.5) / 3)
+    paths = spark.createDataFrame([("l", "b", 2, ["l", "m", "b"], ["CONNECTS_TO", "CONNECTS_TO"]), ("b", "b", 0, ["b"], [])],
+                                  "source string, target string, path_length int, path_nodes array<string>, path_relationships array<string>")
+    drop = {r.source: (r.total_resistance, r.voltage_drop) for r in graph.path_electrical(paths, 10.0, edges).collect()}
+    assert drop == {"l": (pytest.approx(0.6), pytest.approx(0.006)), "b": (0.0, 0.0)}
+
+
+def test_pairs_of_a_large_net(spark):
+    members = spark.createDataFrame([("gnd", f"c{i:03d}") for i in range(60)] + [("n1", "a"), ("n1", "a"), ("n1", "b"), ("n2", "z")], "net string, component_id string")
+    got = [(r.net, r.a, r.b) for r in writers.net_clique_edges(members, share=7).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and ("n1", "a", "b") in got

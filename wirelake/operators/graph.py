@@ -257,11 +257,28 @@ def _follow(walk: DataFrame, tree: DataFrame, end: str, depth: int, join) -> Dat
     return walk
 
 
-def path_electrical(paths: DataFrame, current: float, per_edge: float = 0.1) -> DataFrame:
-    """Summed resistance (0.1 per edge where none is stored) and the voltage drop R*I/1000."""
-    total = F.col("path_length") * F.lit(per_edge)
-    return paths.withColumn("total_resistance", total).withColumn(
-        "voltage_drop", total * F.lit(current) / 1000)
+def resistance(edges: DataFrame) -> Column:
+    """The stored resistance of an edge; 0.1 where there is none."""
+    return F.coalesce(F.col("resistance"), F.lit(0.1)) if "resistance" in edges.columns else F.lit(0.1)
+
+
+def path_electrical(paths: DataFrame, current: float, edges: DataFrame | None = None) -> DataFrame:
+    """Summed resistance (0.1 per edge where none is stored) and the voltage drop R*I/1000.
+
+    With ``edges`` (``src, dst, rel_type, resistance``) the steps of ``path_nodes`` and ``path_relationships`` are looked up, in
+    either direction; of parallel edges the least resistance counts.
+    """
+    if edges is None:
+        found = paths.withColumn("total_resistance", F.col("path_length") * F.lit(0.1))
+    else:
+        values = both_ways(edges.select("src", "dst", "rel_type", resistance(edges).alias("r"))).groupBy("src", "dst", "rel_type").agg(F.min("r").alias("r"))
+        n = F.size("path_nodes") - 1
+        steps = F.arrays_zip(F.slice("path_nodes", 1, n).alias("src"), F.slice("path_nodes", 2, n).alias("dst"), F.col("path_relationships").alias("rel_type"))
+        walked = paths.filter("path_length > 0").select("source", "target", F.explode(steps).alias("s")).select(
+            "source", "target", F.col("s")["src"].alias("src"), F.col("s")["dst"].alias("dst"), F.col("s")["rel_type"].alias("rel_type"))
+        sums = walked.join(values, ["src", "dst", "rel_type"]).groupBy("source", "target").agg(F.sum("r").alias("total_resistance"))
+        found = paths.join(sums, ["source", "target"], "left").withColumn("total_resistance", F.coalesce("total_resistance", F.lit(0.0)))
+    return found.withColumn("voltage_drop", F.col("total_resistance") * F.lit(current) / 1000)
 
 
 def k_paths(edges: DataFrame, pairs: DataFrame, k: int = 5, max_depth: int = 10) -> DataFrame:
@@ -462,7 +479,7 @@ def path_efficiency(edges: DataFrame, components: DataFrame, depth: int = 5) ->
     sources = components.filter(F.col("type").isin("battery", "alternator")).select(
         F.col("id").alias("start"), "vehicle_signature")
     ways = edges.filter(F.col("rel_type").isin("POWERED_BY", "CONNECTS_TO"))
-    counts = trail_counts(ways, sources, depth, F.lit(0.1))
+    counts = trail_counts(ways, sources, depth, resistance(ways))
     loads = components.filter(~F.col("type").isin("battery", "alternator")).select(F.col("id").alias("node"))
     return counts.join(loads, "node", "left_semi").groupBy("vehicle_signature", F.col("start").alias("source_id")).agg(
         (F.sum("weight_sum") / F.sum("paths")).alias("avg_resistance"),

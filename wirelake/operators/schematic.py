@@ -194,13 +194,27 @@ def _end_distances(a: Column, b: Column) -> list[Column]:
     return [F.hypot(a[f"x{i}"] - b[f"x{j}"], a[f"y{i}"] - b[f"y{j}"]) for i in (1, 2) for j in (1, 2)]
 
 
+#: Between the parts of a vertex name; no key holds it.
+_JOINT = "\x1f"
+
+
+def _vertex(key: list[str], prefix: str = "") -> Column:
+    """A segment of a page: ids can repeat on other pages."""
+    return F.concat_ws(_JOINT, F.lit(prefix), *[F.col(k).cast("string") for k in key], "seg_id")
+
+
+def _segment_of(vertex: str) -> Column:
+    return F.element_at(F.split(vertex, _JOINT), -1)
+
+
 def collinear_groups(segments: DataFrame, key: list[str], da: float = 0.1, d: float = 10.0) -> DataFrame:
     pairs = _segment_pairs(segments, key, d)
     a, b = F.col("a.s"), F.col("b.s")
+    of = lambda side: F.concat_ws(_JOINT, F.lit(""), *[F.col(f"{side}.{k}").cast("string") for k in key], f"{side}.seg_id")
     links = pairs.filter((F.col("a.seg_id") < F.col("b.seg_id")) & (_angle_gap(a, b) <= da) & (F.least(*_end_distances(a, b)) <= d)).select(
-        F.col("a.seg_id").alias("src"), F.col("b.seg_id").alias("dst"))
-    groups = connected_components(segments.select(F.col("seg_id").alias("id")), links)
-    return segments.join(groups.select(F.col("id").alias("seg_id"), F.col("component").alias("wire_id")), "seg_id")
+        of("a").alias("src"), of("b").alias("dst"))
+    groups = connected_components(segments.select(_vertex(key).alias("id")), links)
+    return segments.withColumn("_v", _vertex(key)).join(groups.select(F.col("id").alias("_v"), F.col("component").alias("wire_id")), "_v").drop("_v")
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
@@ -258,7 +272,8 @@ def merge_collinear(segments: DataFrame, key: list[str], da: float = 0.1, d: flo
     single = grouped.join(means.filter("parts = 1").select("wire_id"), "wire_id", "left_semi").select("wire_id", *BOX)
     many = grouped.join(means.filter("parts > 1").select("wire_id"), "wire_id", "left_semi")
     ends = many.select("wire_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("wire_id", "p.*").distinct()
-    return means.join(single.unionByName(_farthest(ends, "wire_id")), "wire_id").withColumnRenamed("wire_id", "seg_id")
+    merged = means.join(single.unionByName(_farthest(ends, "wire_id")), "wire_id")
+    return merged.withColumn("seg_id", _segment_of("wire_id")).select("seg_id", *[c for c in merged.columns if c != "wire_id"])
 
 
 def junction_points(segments: DataFrame, key: list[str], tol: float = 8.0) -> DataFrame:
@@ -320,12 +335,12 @@ def trace_nets(segments: DataFrame, lines: DataFrame, key: list[str]) -> DataFra
     Segments and junctions are the two sides of one graph, so a junction of many lines costs one
     edge per line and not one per pair.
     """
-    seg = F.concat(F.lit("s"), "seg_id")
+    seg = _vertex(key, "s")
     nodes = segments.select(seg.alias("id")).unionByName(lines.select(F.concat(F.lit("t"), "junction_id").alias("id")))
     links = lines.select(seg.alias("src"), F.concat(F.lit("t"), "junction_id").alias("dst"))
     groups = connected_components(nodes, links)
-    found = groups.filter(F.col("id").startswith("s")).select(F.expr("substring(id, 2)").alias("seg_id"), F.expr("substring(component, 2)").alias("net_id"))
-    return segments.select(*key, "seg_id").join(found, "seg_id").select(*key, "seg_id", "net_id")
+    found = groups.filter(F.col("id").startswith("s")).select(F.col("id").alias("_v"), _segment_of("component").alias("net_id"))
+    return segments.select(*key, "seg_id", seg.alias("_v")).join(found, "_v").select(*key, "seg_id", "net_id")
 
 
 def net_endpoints(segments: DataFrame, nets: DataFrame, junction_table: DataFrame, key: list[str], tol: float = 8.0) -> DataFrame:

@@ -113,11 +113,11 @@ def box_pairs(a: DataFrame, b: DataFrame, key: list[str], size: float | tuple[fl
 
 
 def nearest_pin(labels: DataFrame, pins: DataFrame, key: list[str], max_d: float = 20.0) -> DataFrame:
-    """For each label (``label_id, x, y, confidence``) the nearest pin (``pin_id, x, y``) within reach."""
+    """For each label (``key, label_id, x, y, confidence``) the nearest pin (``key, pin_id, x, y``) within reach."""
     pairs = near_pairs(labels, pins, max_d, key).select(
-        F.col("a.label_id").alias("label_id"), F.col("b.pin_id").alias("pin_id"), "distance", F.col("a.confidence").alias("_c"))
-    best = top_rows(pairs, "label_id", [F.col("distance"), F.col("pin_id")], 1)
-    return best.select("label_id", "pin_id", "distance", (F.col("_c") * (1 - F.col("distance") / max_d)).alias("confidence"))
+        *[F.col(f"a.{k}").alias(k) for k in key], F.col("a.label_id").alias("label_id"), F.col("b.pin_id").alias("pin_id"), "distance", F.col("a.confidence").alias("_c"))
+    best = top_rows(pairs, [*key, "label_id"], [F.col("distance"), F.col("pin_id")], 1)
+    return best.select(*key, "label_id", "pin_id", "distance", (F.col("_c") * (1 - F.col("distance") / max_d)).alias("confidence"))
 
 
 def segment_boxes(segments: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def _(t):
     return pairs.select("a.span_id", "b.comp_id", F.round("distance", 6).alias("distance"))
 
 
-@query("j21_nearest_pin", f"""WITH {ONE}, {DET}, p AS (SELECT o.span_id AS label_id, d.comp_id AS pin_id, sqrt((o.x-d.x1)**2+(o.y-d.y1)**2) AS distance, o.confidence FROM one o JOIN det d ON d.doc_id=o.doc_id WHERE (o.x-d.x1)**2+(o.y-d.y1)**2<=400)
-SELECT label_id, pin_id, round(distance,6) AS distance, round(confidence*(1-distance/20),6) AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY distance, pin_id)=1""", ("text_spans", "detections"))
+@query("j21_nearest_pin", f"""WITH {ONE}, {DET}, p AS (SELECT o.doc_id, o.span_id AS label_id, d.comp_id AS pin_id, sqrt((o.x-d.x1)**2+(o.y-d.y1)**2) AS distance, o.confidence FROM one o JOIN det d ON d.doc_id=o.doc_id WHERE (o.x-d.x1)**2+(o.y-d.y1)**2<=400)
+SELECT doc_id, label_id, pin_id, round(distance,6) AS distance, round(confidence*(1-distance/20),6) AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, label_id ORDER BY distance, pin_id)=1""", ("text_spans", "detections"))
 def _(t):
     labels = one_engine(t).select("doc_id", F.col("span_id").alias("label_id"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), "confidence")
     pins = t.detections.select("doc_id", F.col("comp_id").alias("pin_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))

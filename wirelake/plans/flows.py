@@ -58,10 +58,9 @@ def _(t):
 @query("s05_json_import", "SELECT id, type, 'V5' AS vehicle_signature FROM components", "components")
 def _(t):
     path = writers.scratch(t.spark, "json")
-    t.components.groupBy("zone", "type").agg(F.collect_list(F.struct("id", "type")).alias("components")).select("components").write.json(path)
-    # one document per line is also a file of one document each for the multi-line reader
-    return t.spark.read.schema("components array<struct<id:string, type:string>>").json(path).select(
-        F.explode("components").alias("r")).select("r.*").withColumn("vehicle_signature", F.lit("V5"))
+    documents = t.components.groupBy("zone", "type").agg(F.collect_list(F.struct("id", "type")).alias("components")).select("components")
+    documents.write.option("maxRecordsPerFile", 1).json(path)  # a file is one document
+    return readers.read_entities_json(t.spark, path, "components", "id string, type string", "V5").drop("import_source")
 
 
 def _graphml(t):
@@ -91,10 +90,10 @@ def _(t):
     path = writers.scratch(t.spark, "pages")
     box = F.array("x1", "y1", "x2", "y2")
     e = F.array_sort(F.collect_list(F.struct("pos", "text", box.alias("bbox"), "confidence")))
-    t.text_spans.filter("engine = 'tesseract'").groupBy("page").agg(e.alias("e")).select("page", F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["bbox"].alias("bbox"), x["confidence"].alias("confidence"))).alias("elements")).repartition("page").write.json(path)
-    schema = "page int, elements array<struct<text:string, bbox:array<double>, confidence:double>>"
-    lines = t.spark.read.schema(schema).json(path)
-    return lines.select("page", F.size("elements").cast("bigint").alias("elements"), F.md5(F.array_join(F.transform("elements", lambda x: x["text"]), " ")).alias("h"))
+    t.text_spans.filter("engine = 'tesseract'").groupBy("page").agg(e.alias("e")).select("page", F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["bbox"].alias("bbox"), x["confidence"].alias("confidence"))).alias("elements")).write.option("maxRecordsPerFile", 1).json(path)
+    elements, texts = readers.read_ocr_pages(t.spark, path)
+    counted = elements.groupBy("page").agg(F.count("text").alias("elements"))
+    return texts.join(counted, "page").select("page", "elements", F.md5("text").alias("h"))
 
 
 def _batch(t):
@@ -150,9 +149,9 @@ def _(t):
     return lines.groupBy(F.get_json_object("value", "$.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s15_net_clique_edges", """WITH m AS (SELECT DISTINCT l_orderkey AS net, l_partkey AS c FROM lineitem), s AS (SELECT net, count(*) AS n FROM m GROUP BY 1) SELECT a.net, a.c AS a, b.c AS b, 'pair' AS form FROM m a JOIN m b ON a.net=b.net AND a.c<b.c JOIN s ON s.net=a.net WHERE n<=6 UNION ALL SELECT m.net, m.net, m.c, 'hub' FROM m JOIN s USING (net) WHERE n>6""")
+@query("s15_net_clique_edges", "WITH m AS (SELECT DISTINCT l_orderkey AS net, l_partkey AS c FROM lineitem) SELECT a.net, a.c AS a, b.c AS b FROM m a JOIN m b ON a.net=b.net AND a.c<b.c")
 def _(t):
-    return writers.net_clique_edges(t.lineitem.select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("component_id")), 6)
+    return writers.net_clique_edges(t.lineitem.select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("component_id")))
 
 
 @query("s16_graphml_lines", """SELECT md5(value) AS h FROM (SELECT concat('<node id="', id, '">', CASE WHEN name IS NOT NULL THEN concat('<data key="name">', replace(replace(name,'&','&amp;'),'<','&lt;'), '</data>') ELSE '' END, CASE WHEN zone IS NOT NULL THEN concat('<data key="zone">', zone, '</data>') ELSE '' END, '</node>') AS value FROM components

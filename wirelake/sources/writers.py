@@ -39,19 +39,25 @@ def export_ndjson(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def net_clique_edges(connections: DataFrame, max_members: int = 100) -> DataFrame:
-    """Edges between components that share a net: ``net, a, b, form``.
+def net_clique_edges(connections: DataFrame, share: int = 1024) -> DataFrame:
+    """``net, a, b``: each pair of components that share a net, once, whatever the size of the net.
 
-    Nets up to ``max_members`` give each pair once.  Larger nets (ground, supply) are written as one
-    edge from the net to each member, which says the same without listing all pairs.
+    The pairs are the result, so their number is the square of a net's.  The members of a net are dealt into shares, and
+    each pair of shares is a join key of its own, so a supply net with many members is spread over many tasks.
+    ``net_hub_edges`` says the same in one row per member.
     """
     members = connections.select("net", "component_id").distinct()
-    sizes = members.groupBy("net").agg(F.count(F.lit(1)).alias("_n"))
-    sized = members.join(sizes, "net")
-    small = sized.filter(F.col("_n") <= max_members)
-    a, b = small.select("net", F.col("component_id").alias("a")), small.select("net", F.col("component_id").alias("b"))
-    pairs = a.join(b, "net").filter("a < b").select("net", "a", "b", F.lit("pair").alias("form"))
-    return pairs.unionByName(sized.filter(F.col("_n") > max_members).select("net", F.col("net").alias("a"), F.col("component_id").alias("b"), F.lit("hub").alias("form")))
+    sizes = members.groupBy("net").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_n"))
+    dealt = members.join(sizes, "net").withColumn("_own", F.pmod(F.xxhash64("component_id"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = dealt.select("net", F.col("component_id").alias("a"), F.col("_own").alias("_i"), every.alias("_j"))
+    b = dealt.select("net", F.col("component_id").alias("b"), F.col("_own").alias("_j"), every.alias("_i"))
+    return a.join(b, ["net", "_i", "_j"]).filter("a < b").select("net", "a", "b")
+
+
+def net_hub_edges(connections: DataFrame) -> DataFrame:
+    """``net, component_id``: one edge from a net to each of its members."""
+    return connections.select("net", "component_id").distinct()
 
 
 def xml_safe(text: Column) -> Column:
