@@ -114,7 +114,11 @@ def _(t):
     return op.search_documents(queries_of(t), chunks, 3, document_types=["manual"], models=["m1", "m2", "m4", "m6", "m8"])
 
 
-@query("v12_search_components")
+@query("v12_search_components", r"""WITH idx AS (SELECT id AS doc_id, w AS term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', name, type, manufacturer, part_number)),'[\p{L}\p{N}]+')) AS w FROM components) d GROUP BY 1,2),
+ask AS (SELECT DISTINCT id AS query_id, w AS asked FROM (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', type, part_number)),'[\p{L}\p{N}]+')) AS w FROM components) b), df AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
+n AS (SELECT count(DISTINCT doc_id) AS total FROM idx), need AS (SELECT query_id, count(*) AS need FROM ask GROUP BY 1), met AS (SELECT DISTINCT a.asked, df.term, df.df FROM (SELECT DISTINCT asked FROM ask) a JOIN df ON starts_with(df.term, a.asked)),
+h AS (SELECT query_id, doc_id, count(DISTINCT asked) AS have, round(sum(tf*ln(1+total/df)),6) AS score FROM ask JOIN met USING (asked) JOIN idx USING (term), n GROUP BY 1,2)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN need USING (query_id) WHERE have=need QUALIFY rank<=3""", "components")
 def _(t):
     asks = t.components.select(F.col("id").alias("query_id"), F.concat_ws(" ", "type", "part_number").alias("text"))
     return op.search_components(asks, t.components, 3)
