@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from wirelake.functions import text as tx
 from wirelake.operators.ranking import group_nearby_spans
-from wirelake.scale import top_rows
+from wirelake.scale import best_readings, top_rows
 
 
 def _windows(words: Column, size: int, step: int) -> Column:
@@ -221,7 +221,7 @@ def text_samples(disagreements: DataFrame, failures: DataFrame, n: int = 3) -> D
 def contrastive_pairs(readings: DataFrame, key: list[str], high: float = 0.8, gap: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Positive pairs: neighbouring confident readings of a region in engine order; negative pairs:
     the most against the least confident reading when they are ``gap`` apart."""
-    one = readings.groupBy(*key, "engine").agg(F.max_by(F.struct("text", F.round("confidence", 9).alias("confidence")), F.struct("confidence", "text")).alias("r"))
+    one = best_readings(readings, key).withColumn("r", F.struct("r.text", F.round("r.confidence", 9).alias("confidence")))
     listed = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("engine", "r.text", "r.confidence"))).alias("e")).filter(F.size("e") >= 2)
     sure = F.filter("e", lambda x: x["confidence"] > high)
     steps = F.transform(F.slice(sure, F.lit(2), F.greatest(F.size(sure), F.lit(1))), lambda x, i: F.struct(F.get(sure, i)["text"].alias("a"), x["text"].alias("b")))
