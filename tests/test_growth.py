@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wirelake.operators import chunking, layout, schematic, spatial
+from wirelake.operators import chunking, graph, layout, schematic, spatial
 
 
 @pytest.fixture
@@ -146,3 +146,13 @@ def test_page_files_are_small(spark, moved):
     df = entry.queries()["s08_ocr_pages"](spark, "/root/testdata/sf0.001")
     assert df.count() == 200
     assert moved() < 5e6
+
+
+def test_paths_are_counted_without_a_row_each(spark, moved):
+    rnd = random.Random(3)
+    pairs = {(f"n{rnd.randrange(400)}", f"n{rnd.randrange(400)}", "CONNECTS_TO") for _ in range(2400)}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string, rel_type string")
+    parts = spark.createDataFrame([(f"n{i}", "V", "battery" if i % 6 == 0 else "fuse") for i in range(400)], "id string, vehicle_signature string, type string")
+    moved()
+    assert sum(r.path_count for r in graph.path_efficiency(edges, parts).collect()) > 400_000
+    assert moved() < 9_000_000

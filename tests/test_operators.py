@@ -131,6 +131,34 @@ def test_trail_counts(spark, net):
     assert got == want
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 6])
+def test_trails_over_loops_and_parallel_edges(spark, depth):
+    rng = random.Random(11)
+    pairs = sorted({(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}", rng.choice("WP")) for _ in range(19)} | {("n1", "n1", "W"), ("n1", "n2", "W"), ("n1", "n2", "P"), ("n2", "n1", "W")})
+    edges = spark.createDataFrame([(a, b, {"W": "CONNECTS_TO", "P": "POWERED_BY"}[k], None if i % 4 == 0 else float(i)) for i, (a, b, k) in enumerate(pairs)], "src string, dst string, rel_type string, resistance double")
+    parts = spark.createDataFrame([(f"n{i}", "V", "battery" if i < 3 else "fuse") for i in range(7)], "id string, vehicle_signature string, type string")
+    ends, sums, by_length = {}, {}, {}
+    for s in ("n0", "n1", "n2"):
+
+        def walk(at, used, length, cost):
+            for i, (a, b, _) in enumerate(pairs):
+                if a == at and i not in used:
+                    total = cost + (0.1 if i % 4 == 0 else float(i))
+                    ends[s, b, length + 1] = ends.get((s, b, length + 1), 0) + 1
+                    if b not in ("n0", "n1", "n2"):
+                        sums.setdefault(s, []).append((total, length + 1))
+                        by_length[length + 1] = by_length.get(length + 1, 0) + 1
+                    if length + 1 < depth:
+                        walk(b, used | {i}, length + 1, total)
+
+        walk(s, frozenset(), 0, 0.0)
+    sources = parts.filter("type = 'battery'").withColumnRenamed("id", "start")
+    assert {(r.start, r.node, r.length): r.paths for r in graph.trail_counts(edges, sources, depth).collect()} == ends
+    got = {r.source_id: (r.path_count, r.avg_resistance, r.avg_path_length) for r in graph.path_efficiency(edges, parts, depth).collect()}
+    assert got == {s: (len(v), pytest.approx(sum(t for t, _ in v) / len(v)), pytest.approx(sum(n for _, n in v) / len(v))) for s, v in sums.items()}
+    assert {r.path_length: r.path_count for r in graph.path_histogram(edges, parts, depth).collect()} == by_length
+
+
 def test_k_paths_and_shortest(spark, net):
     pairs, edges = net
     asked = spark.createDataFrame([("n1", "n5"), ("n2", "n9")], "source string, target string")
