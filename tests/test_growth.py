@@ -156,3 +156,12 @@ def test_paths_are_counted_without_a_row_each(spark, moved):
     moved()
     assert sum(r.path_count for r in graph.path_efficiency(edges, parts).collect()) > 400_000
     assert moved() < 9_000_000
+
+
+def test_only_the_first_long_paths_are_listed(spark, moved):
+    rnd = random.Random(4)
+    edges = spark.createDataFrame(sorted({(f"n{rnd.randrange(400)}", f"n{rnd.randrange(400)}", "W") for _ in range(2400)}), "src string, dst string, rel_type string")
+    starts = edges.selectExpr("src AS start").distinct()
+    moved()
+    assert len(graph.long_paths(edges, starts, 3, 5, 4).collect()) == 5
+    assert moved() < 1_500_000

@@ -189,6 +189,22 @@ def test_long_paths(spark, net):
     assert [(-r.path_length, ">".join(r.path_nodes)) for r in got] == want
 
 
+@pytest.mark.parametrize("mark", ["", ">"])
+def test_long_paths_behind_many_dead_ends(spark, mark):
+    rng = random.Random(2)
+    pairs = [p for i in range(120) for p in ((f"a{i}", f"b{i}"), (f"b{i}", f"a{i}"))]  # walks of any length, but paths of two edges at most
+    pairs += sorted({(f"z{mark * (i % 2)}{i}", f"z{mark * (j % 2)}{j}") for i, j in [(rng.randrange(9), rng.randrange(9)) for _ in range(22)]})
+    edges = spark.createDataFrame([(a, b, kind) for a, b in pairs for kind in ("W", "X")[: 1 + (a == "z2")]], "src string, dst string, rel_type string")
+    both = pairs + [p for p in pairs if p[0] == "z2"]
+    starts = sorted({a for a, _ in pairs})
+    want = sorted((-n, ">".join(p)) for s in starts if s[0] == "z" for _, n, p in trails(both, s, 4) if n > 2)
+    assert len(want) > 40
+    got = graph.long_paths(edges, spark.createDataFrame([(s,) for s in starts], "start string"), 2, 7, 4).collect()
+    assert [(-r.path_length, ">".join(r.path_nodes)) for r in got] == want[:7]
+    got = graph.long_paths(edges, spark.createDataFrame([(s,) for s in starts], "start string"), 1, len(want) + 30, 4).collect()
+    assert [(-r.path_length, ">".join(r.path_nodes)) for r in got][: len(want)] == want and len(got) == len(want) + 30
+
+
 # ---- boxes and wires ---------------------------------------------------------------------------
 
 
