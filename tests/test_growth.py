@@ -165,3 +165,34 @@ def test_only_the_first_long_paths_are_listed(spark, moved):
     moved()
     assert len(graph.long_paths(edges, starts, 3, 5, 4).collect()) == 5
     assert moved() < 1_500_000
+
+
+def test_labels_near_segments_of_many_lengths(spark, moved):
+    rnd = random.Random(8)
+    segments = [(d, f"s{i % 25}", x, y, x + rnd.uniform(-1, 1) * w, y + rnd.uniform(-1, 1) * w) for d in "de" for i in range(60) for x, y, w in [(rnd.uniform(-900, 900), rnd.uniform(-900, 900), 2.0 ** rnd.uniform(0, 13))]]
+    segments += [("d", "flat", 0.0, 20.0 * i, 900.0, 20.0 * i) for i in range(40)] + [("e", "point", 5.0, 5.0, 5.0, 5.0)]
+    spans = [(d, i, x, y, x + 30.0, y + 14.0) for d in "de" for i in range(500) for x, y in [(rnd.uniform(-900, 900), rnd.uniform(-900, 900))]]
+    want = {}
+    for d, net, x1, y1, x2, y2 in segments:
+        for e, n, a, b, c, f in spans:
+            if d == e:
+                x, y, l2 = (a + c) / 2, (b + f) / 2, (x2 - x1) ** 2 + (y2 - y1) ** 2
+                u = min(1.0, max(0.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) if l2 else 0.0
+                dist = math.hypot(x - x1 - u * (x2 - x1), y - y1 - u * (y2 - y1))
+                if dist <= 30.0:
+                    want[d, net, n] = min(dist, want.get((d, net, n), dist))
+    of = "doc string, net_id string, x1 double, y1 double, x2 double, y2 double"
+    got = spatial.net_label_pairs(spark.createDataFrame(segments, of), spark.createDataFrame(spans, "doc string, span_id int, x1 double, y1 double, x2 double, y2 double"), ["doc"])
+    assert {(r.doc, r.net_id, r.span_id): r.distance for r in got.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+    # lines of text under ruled lines: what is moved follows the texts, not the grids
+    page = spark.range(40_000).selectExpr("'d' || id % 20 AS doc", "id AS span_id", "id % 7 * 120.0D AS x1", "id * 3.0D AS y1", "id % 7 * 120.0D + 40 AS x2", "id * 3.0D + 14 AS y2")
+    ruled = spark.range(2_000).selectExpr("'d' || id % 20 AS doc", "'n' || id AS net_id", "0.0D AS x1", "id * 60.0D AS y1", "50 * pow(2.0D, id % 5) AS x2", "id * 60.0D AS y2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        moved()
+        assert spatial.net_label_pairs(ruled, page, ["doc"], 20.0).count() > 500
+        assert moved() < 3_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
