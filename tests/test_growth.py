@@ -4,11 +4,13 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wirelake.operators import chunking, graph, layout, schematic, spatial
+from wirelake.operators import chunking, graph, ivfpq, layout, schematic, search, spatial, tiles
+from wirelake.session import cut
 
 
 @pytest.fixture
@@ -196,3 +198,39 @@ def test_labels_near_segments_of_many_lengths(spark, moved):
         assert moved() < 3_000_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _vectors(spark, rows, seed):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(rows, 32)))], "vec_id long, embedding array<double>")
+
+
+def test_approximate_search_sends_each_query_once_per_bundle(spark, moved):
+    v = cut(_vectors(spark, 2000, 3))
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    moved()
+    found = ivfpq.ivf_topk(q, v, 10, probe=0.6, refine=100).collect()
+    assert moved() < 8e6
+    x = ivfpq.unit_rows(v.orderBy("vec_id").toArrow().column("embedding").combine_chunks())
+    exact = np.argsort(-(x @ x.T), axis=1)[:, :10]
+    got = {(r.query_id, r.vec_id) for r in found}
+    assert len(found) == 20000 and np.mean([(i, j) in got for i, row in enumerate(exact.tolist()) for j in row]) >= 0.9
+
+
+def test_exact_search_copies_rows_to_few_tiles(spark, moved):
+    v = cut(_vectors(spark, 6000, 4))
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    moved()
+    found = search.cosine_topk(q, v, 10).collect()
+    assert moved() < 8e6 and len(found) == 60000
+    x = ivfpq.unit_rows(v.orderBy("vec_id").toArrow().column("embedding").combine_chunks())
+    assert {(r.query_id, r.vec_id) for r in found} == {(i, j) for i, row in enumerate(np.argsort(-(x @ x.T), axis=1)[:, :10].tolist()) for j in row}
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_best_in_tile_with_ties(k):
+    scores = np.random.default_rng(5).integers(0, 4, (30, 20)).astype(float)
+    scores[3], scores[4, 5:], scores[5, ::3] = -np.inf, -np.inf, np.nan
+    rows, cols = tiles.best_in_tile(scores, k)
+    want = [(i, j) for i in range(30) for j in sorted((j for j in range(20) if np.isfinite(scores[i, j])), key=lambda j: (-scores[i, j], j))[:k]]
+    assert list(zip(rows.tolist(), cols.tolist())) == want
