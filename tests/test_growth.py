@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wirelake.operators import chunking, graph, ivfpq, layout, schematic, search, spatial, tiles
+from wirelake.operators import chunking, graph, ivfpq, layout, ranking, schematic, search, spatial, tiles
 from wirelake.session import cut
 
 
@@ -234,3 +234,21 @@ def test_best_in_tile_with_ties(k):
     rows, cols = tiles.best_in_tile(scores, k)
     want = [(i, j) for i in range(30) for j in sorted((j for j in range(20) if np.isfinite(scores[i, j])), key=lambda j: (-scores[i, j], j))[:k]]
     assert list(zip(rows.tolist(), cols.tolist())) == want
+
+
+def test_nearby_spans_are_shuffled_once(spark, moved):
+    rnd = random.Random(8)
+    rows = [(p or None, i, f"word{rnd.randint(0, 9)}", "e", 0.5, x, y, x + 40.0, y + 14.0)
+            for p in range(30) for i in range(400) for x, y in [(50.0 * rnd.randint(0, 19), 20.0 * rnd.randint(0, 60))]]
+    spans = cut(spark.createDataFrame(rows, "doc int, pos int, text string, engine string, confidence double, x1 double, y1 double, x2 double, y2 double"))
+    moved()
+    got = {(r.doc, r.pos): r.grp for r in ranking.group_nearby_spans(spans, ["doc"]).collect()}
+    assert moved() < 5e5
+    want = {}
+    for page in {r[0] for r in rows}:
+        group, last = 0, None
+        for r in sorted((r for r in rows if r[0] == page), key=lambda r: (r[6], r[5], r[1])):
+            gap = r[6] - last[8] if last else 0
+            group += bool(last) and not (gap < 30 and (not (r[7] < last[5] or r[5] > last[7]) or gap < 10))
+            want[page, r[1]], last = group, r
+    assert got == want

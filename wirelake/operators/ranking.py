@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.operators.filters import has_position, literal_map
@@ -43,14 +43,20 @@ def error_streaks(df: DataFrame, count_open: bool = True) -> DataFrame:
 
 
 def group_nearby_spans(spans: DataFrame, key: list[str], proximity: float = 30.0) -> DataFrame:
-    """Add ``grp``: a new group starts where the gap to the span before is too large."""
-    order = [F.col("y1"), F.col("x1"), F.col("pos")]
-    prev = lag_rows(spans, key, order, {"_x1": "x1", "_x2": "x2", "_y2": "y2"})
+    """Add ``grp``: a new group starts where the gap to the span before is too large.
+
+    A page is read in order, and is short by nature: its spans are shuffled and sorted once, by ``key``, for both windows and
+    for what is aggregated by ``key`` afterwards.
+    """
+    near = Window.partitionBy(*key).orderBy("y1", "x1", "pos")
+    before = lambda name: F.lag(name).over(near)
+    prev = spans.withColumns({"_x1": before("x1"), "_x2": before("x2"), "_y2": before("y2")})
     gap = F.col("y1") - F.col("_y2")
     overlap = ~((F.col("x2") < F.col("_x1")) | (F.col("x1") > F.col("_x2")))
     joined = (gap < proximity) & (overlap | (gap < 10))
     fresh = F.when(F.col("_y2").isNull() | joined, 0).otherwise(1)
-    return running_sum(prev, key, order, fresh, "grp").drop("_x1", "_x2", "_y2")
+    upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return prev.withColumn("grp", F.sum(fresh).over(upto)).drop("_x1", "_x2", "_y2")
 
 
 #: Zone box origins (min x, min y, min z); unknown zones use "default".
