@@ -252,3 +252,29 @@ def test_nearby_spans_are_shuffled_once(spark, moved):
             group += bool(last) and not (gap < 30 and (not (r[7] < last[5] or r[5] > last[7]) or gap < 10))
             want[page, r[1]], last = group, r
     assert got == want
+
+
+def test_path_lengths_write_little(spark, moved):
+    rnd = random.Random(9)
+    rows = {(f"node-{rnd.randint(0, 399)}", f"node-{rnd.randint(0, 399)}") for _ in range(900)} | {("x", "x"), ("x", "y"), ("y", "z")}
+    asked = [(f"node-{rnd.randint(0, 399)}", f"node-{rnd.randint(0, 399)}") for _ in range(300)] + [("x", "x"), ("x", "z"), ("x", "node-1"), ("new", "new"), ("new", "x"), (None, "x")]
+    edges = cut(spark.createDataFrame([(*r, "R") for r in sorted(rows)], "src string, dst string, rel_type string"))
+    pairs = cut(spark.createDataFrame(asked, "source string, target string"))
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for depth in (1, 3, 6):
+        want = {}
+        for s, t in set(asked):
+            level, seen = {s} if s else set(), set()
+            for n in range(depth + 1):
+                if t in level:
+                    want[s, t] = n
+                    break
+                seen |= level
+                level = {b for a in level for b in near.get(a, ())} - seen
+        moved()
+        found = graph.shortest_paths(edges, pairs, depth, with_nodes=False).collect()
+        assert len(found) == len(want) and {(r.source, r.target): r.path_length for r in found} == want
+        assert moved() < 6e5
