@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.functions import geometry as geo
@@ -206,17 +206,32 @@ def spatial_clusters(components: DataFrame, r: float = 300.0, min_size: int = 2)
 
 
 def overlap_check(new: DataFrame, placed: DataFrame, clearance: float = 50.0) -> DataFrame:
-    """Nearest placed component that is closer than half of both sizes plus the clearance."""
-    columns = ["id", TENANT, "x", "y", "z", "size"]
-    reach = lambda c: F.coalesce(F.col(f"{c}.size"), F.lit(0.0))
-    pairs = _sized_pairs(new.select(*columns), placed.select(*columns), [TENANT], F.coalesce("size", F.lit(0.0)) + clearance)
-    need = (reach("a") + reach("b")) / 2 + clearance
-    distance = F.sqrt(reduce(lambda u, v: u + v, [(F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"]))
-    hits = pairs.withColumn("distance", distance).filter((F.col("a.id") != F.col("b.id")) & (F.col("distance") < need))
-    best = hits.groupBy(F.col("a.id").alias("id")).agg(
-        F.min_by(F.struct("distance", F.col("b.id").alias("conflict_id")), F.struct("distance", F.col("b.id"))).alias("m"),
-        F.count(F.lit(1)).alias("conflicts"))
-    return best.select("id", "m.conflict_id", "m.distance", "conflicts")
+    """Nearest placed component that is closer than half of both sizes plus the clearance.
+
+    Components of one place and size are compared as one body.  Of a placed body its number and its two smallest ids go along: of
+    two, one is not the component itself, and its own rows are taken off the number afterwards.
+    """
+    at = [TENANT, "x", "y", "z", "size"]
+    one, two = (df.filter("id IS NOT NULL").select("id", TENANT, "x", "y", "z", F.coalesce("size", F.lit(0.0)).alias("size")) for df in (new, placed))
+    ids = top_rows(two.select(*at, "id").distinct(), at, [F.col("id")], 2).groupBy(*at).agg(F.collect_list("id").alias("ids"))
+    bodies = two.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).join(ids, at)
+    apart = lambda p, q: F.sqrt(reduce(lambda u, v: u + v, [(F.col(p + c) - F.col(q + c)) * (F.col(p + c) - F.col(q + c)) for c in "xyz"]))
+    need = lambda p, q: (F.col(p + "size") + F.col(q + "size")) / 2 + clearance
+    pairs = _sized_pairs(one.select(*at).distinct(), bodies, [TENANT], F.col("size") + clearance)
+    hits = pairs.withColumn("distance", apart("a.", "b.")).filter(F.col("distance") < need("a.", "b."))
+    # a body's rows are shuffled once, for the aggregate and both windows
+    hits = hits.select(*[F.col(f"a.{c}").alias(c) for c in at], "distance", F.col("b.n").alias("n"), F.posexplode("b.ids").alias("i", "other")).repartition(*at)
+    others = hits.groupBy(*at, "other").agg(F.min("distance").alias("distance"), F.sum(F.when(F.col("i") == 0, F.col("n")).otherwise(0)).alias("n"))
+    near = Window.partitionBy(*at)
+    two_best = others.withColumns({"total": F.sum("n").over(near), "rn": F.row_number().over(near.orderBy("distance", "other"))}).filter("rn <= 2")
+    hit = F.struct("distance", F.col("other").alias("conflict_id"))
+    best = two_best.groupBy(*at).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("rn") == i, hit)).alias(f"m{i}") for i in (1, 2)])
+    rows = one.join(best, at).withColumn("m", F.when(F.col("m1.conflict_id") == F.col("id"), F.col("m2")).otherwise(F.col("m1")))
+    rows = rows.groupBy("id").agg(F.min("m").alias("m"), F.sum("total").alias("total"))
+    p, q = (df.select("id", TENANT, *[F.col(c).alias(f"{name}{c}") for c in ("x", "y", "z", "size")]) for df, name in ((one, "p"), (two, "q")))
+    own = p.join(q, ["id", TENANT]).filter(apart("p", "q") < need("p", "q")).groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    out = rows.filter("m IS NOT NULL").join(own, "id", "left")
+    return out.select("id", "m.conflict_id", "m.distance", (F.col("total") - F.coalesce("own", F.lit(0))).alias("conflicts"))
 
 
 def _sized_pairs(a: DataFrame, b: DataFrame, key: list[str], extent: Column) -> DataFrame:
