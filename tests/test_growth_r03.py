@@ -5,7 +5,7 @@ import random
 from test_dependency_density import longest, reach
 from test_growth import moved  # noqa: F401
 
-from wirelake.operators import dependency
+from wirelake.operators import dependency, spatial
 
 
 def test_circuit_hierarchy_makes_no_rows_per_pair_of_circuits(spark, moved):  # noqa: F811
@@ -31,3 +31,29 @@ def test_circuit_hierarchy_makes_no_rows_per_pair_of_circuits(spark, moved):  #
     rows = dependency.circuit_hierarchy(wide, spark.createDataFrame([("V", "a", "b")], "vehicle_signature string, src string, dst string")).collect()
     assert moved() < 20_000_000
     assert {(r.parent_circuits, r.child_circuits, r.dependency_depth) for r in rows} == {(1500, 0, 1), (0, 1500, 0)}
+
+
+def test_components_of_one_place_are_compared_once(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"p{rng.randrange(70):02d}", rng.choice(["V1", "V2"]), *[float(rng.randrange(4) * 40)] * 2, float(rng.randrange(2) * 60), rng.choice([None, 10.0, 90.0])) for _ in range(90)]
+    rows += [("q1", "V1", None, 0.0, 0.0, 10.0), (None, "V1", 0.0, 0.0, 0.0, 10.0)]
+    parts = spark.createDataFrame(rows, "id string, vehicle_signature string, x double, y double, z double, size double")
+    far = lambda a, b: sum((a[i] - b[i]) ** 2 for i in (2, 3, 4)) ** 0.5
+    known = [r for r in rows if r[0] and r[2] is not None]
+    want = {}
+    for a in known:
+        hits = [(far(a, b), b[0]) for b in known if b[1] == a[1] and b[0] != a[0] and far(a, b) < ((a[5] or 0) + (b[5] or 0)) / 2 + 20]
+        if hits:
+            best, n = want.get(a[0], (min(hits), 0))
+            want[a[0]] = (min(best, *hits), n + len(hits))
+    got = {r.id: ((r.distance, r.conflict_id), r.conflicts) for r in spatial.overlap_check(parts, parts, 20.0).collect()}
+    assert got == want
+    made = []
+    plain = spatial._sized_pairs
+    monkeypatch.setattr(spatial, "_sized_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    stack = spark.range(400).selectExpr("concat('p', lpad(id, 3, '0')) AS id", "'V' AS vehicle_signature", "1D AS x", "1D AS y", "1D AS z", "5D AS size")
+    assert {(r.conflicts, r.distance, r.conflict_id) for r in spatial.overlap_check(stack, stack).collect()} == {(399, 0.0, "p000"), (399, 0.0, "p001")}
+    boxes = stack.selectExpr("*", "size AS dx", "size AS dy", "size AS dz").drop("size")
+    pairs = [(r.a_id, r.b_id) for r in spatial.collisions(boxes, ["vehicle_signature"]).collect()]
+    assert len(pairs) == len(set(pairs)) == 400 * 399 // 2
+    assert [p.count() for p in made] == [1, 1]
