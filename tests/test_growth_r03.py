@@ -5,7 +5,7 @@ import random
 from test_dependency_density import longest, reach
 from test_growth import moved  # noqa: F401
 
-from wirelake.operators import dependency, spatial
+from wirelake.operators import dependency, ranking, spatial, tiles
 
 
 def test_circuit_hierarchy_makes_no_rows_per_pair_of_circuits(spark, moved):  # noqa: F811
@@ -57,3 +57,35 @@ def test_components_of_one_place_are_compared_once(spark, monkeypatch):
     pairs = [(r.a_id, r.b_id) for r in spatial.collisions(boxes, ["vehicle_signature"]).collect()]
     assert len(pairs) == len(set(pairs)) == 400 * 399 // 2
     assert [p.count() for p in made] == [1, 1]
+
+
+def scored(monkeypatch):
+    """The sizes of both sides of each ``tiled_topk`` that ``alike_topk`` makes."""
+    sides, plain = [], tiles.tiled_topk
+
+    def counted(left, right, *args, **named):
+        sides.append((left.count(), right.count()))
+        return plain(left, right, *args, **named)
+
+    monkeypatch.setattr(tiles, "tiled_topk", counted)
+    return sides
+
+
+def test_replacements_that_agree_are_scored_once(spark, monkeypatch):
+    sides = scored(monkeypatch)
+    rng = random.Random(11)
+    rows = [(f"p{i:03d}", rng.choice("VW"), "fuse", rng.choice(["aa", "bb"]), rng.choice(["m", "n", None]), "x", rng.choice([None, 5.0, 6.0, 9.0]), rng.choice([None, 1.0, 2.0])) for i in range(300)]
+    parts = spark.createDataFrame(rows, "id string, vehicle_signature string, type string, name string, manufacturer string, part_number string, voltage_rating double, current_rating double")
+    want = {}
+    for a in rows:
+        found = []
+        for b in rows:
+            known = lambda i: a[i] is not None and b[i] is not None
+            if b[0] == a[0] or b[1] != a[1] or (known(6) and abs(a[6] - b[6]) > 1) or (known(7) and b[7] < a[7] * 0.8):
+                continue
+            score = 0.3 * (known(4) and a[4] == b[4]) + 0.4 + 0.2 * (known(6) and a[6] == b[6]) + 0.1 * (known(7) and b[7] >= a[7])
+            found.append((-round(score, 6), b[3], b[0]))
+        want |= {(a[0], i + 1): (b, -s) for i, (s, _, b) in enumerate(sorted(found)[:5])}
+    got = {(r.id, r["rank"]): (r.candidate_id, r.similarity_score) for r in ranking.replacement_topk(parts, parts, 5).collect()}
+    assert got == want
+    assert len(sides) == 1 and sides[0][0] <= 72 and sides[0][1] < 300
