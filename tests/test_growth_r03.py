@@ -89,3 +89,20 @@ def test_replacements_that_agree_are_scored_once(spark, monkeypatch):
     got = {(r.id, r["rank"]): (r.candidate_id, r.similarity_score) for r in ranking.replacement_topk(parts, parts, 5).collect()}
     assert got == want
     assert len(sides) == 1 and sides[0][0] <= 72 and sides[0][1] < 300
+
+
+def test_peripherals_of_one_place_are_scored_once(spark, monkeypatch):
+    sides = scored(monkeypatch)
+    rng = random.Random(13)
+    rows = [(f"p{i:03d}", rng.choice("VW"), rng.choice(["connector", "battery", "fuse"]), "a", float(rng.randrange(3) * 500), 0.0, float(rng.randrange(2))) for i in range(400)]
+    rows.append(("none", "V", "battery", "a", None, 0.0, 0.0))
+    parts = spark.createDataFrame(rows, "id string, vehicle_signature string, type string, name string, x double, y double, z double")
+    want = {}
+    for a in rows[:-1]:
+        if a[2] == "connector":
+            far = lambda b: round(((a[4] - b[4]) ** 2 + (a[6] - b[6]) ** 2) ** 0.5, 6)  # noqa: B023, E731
+            found = sorted((far(b), b[0]) for b in rows[:-1] if b[1] == a[1] and b[0] != a[0] and (b[2] == "battery" or far(b) <= 800))
+            want |= {(a[0], i + 1): (b, d) for i, (d, b) in enumerate(found[:8])}
+    got = {(r.id, r["rank"]): (r.peripheral_id, r.distance) for r in ranking.peripherals(parts.filter("type = 'connector'"), parts).collect()}
+    assert got == want
+    assert len(sides) == 1 and sides[0][0] <= 12 and sides[0][1] <= 2 * 6 * 2 * 9

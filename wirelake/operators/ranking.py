@@ -263,13 +263,13 @@ def peripherals(new: DataFrame, placed: DataFrame, k: int = 8, reach: float = 80
     def score(lp, rp):
         d = np.sqrt(sum((_numbers(lp, a)[:, None] - _numbers(rp, a)[None, :]) ** 2 for a in "xyz"))
         major = rp["major"].to_numpy(dtype=bool)[None, :]
-        ok = (major | (d <= reach)) & (lp["id"].to_numpy(dtype=object)[:, None] != rp["id"].to_numpy(dtype=object)[None, :])
-        return np.where(ok, -d, -np.inf)
+        return np.where(major | (d <= reach), -d, -np.inf)
 
-    return tiled_topk(new.filter(has_position()).select("id", TENANT, "x", "y", "z"),
-                      placed.filter(has_position()).select("id", TENANT, F.lower(F.concat_ws(" ", "type", "name")).rlike(marks).alias("major"), "x", "y", "z"), [TENANT], k, score
-                      ).select(F.col("left_id").alias("id"), F.col("right_id").alias("peripheral_id"),
-                               F.negative("score").alias("distance"), "rank")
+    at = ["x", "y", "z"]
+    return alike_topk(new.filter(has_position()).select("id", TENANT, *at),
+                      placed.filter(has_position()).select("id", TENANT, F.lower(F.concat_ws(" ", "type", "name")).rlike(marks).alias("major"), *at),
+                      [TENANT], (at, ["major", *at]), k, score
+                      ).select("id", F.col("right_id").alias("peripheral_id"), F.negative("score").alias("distance"), "rank")
 
 
 def needs_inspection(components: DataFrame, edges: DataFrame, cutoff: Column | None = None) -> DataFrame:
