@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wirelake.functions import text as tx
 
+#: The characters of the category Zs.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def inner_text(html: Column) -> Column:
     """Text of a piece of HTML: no tags, the common entities resolved, blanks collapsed."""
@@ -40,11 +43,14 @@ def pages_to_posts(pages: DataFrame, title: str = "h1", content: str = "article"
 
 
 def submissions_to_posts(df: DataFrame) -> DataFrame:
-    """``id, title, selftext, author, created_utc`` -> posts; a post without a body has its title as content, a missing author stays null."""
-    title = F.nullif(F.trim("title"), F.lit(""))
-    body = F.coalesce(F.nullif(F.trim("selftext"), F.lit("")), title)
-    return df.filter(body.isNotNull()).select("id", title.alias("title"), body.alias("content"), "author", F.timestamp_seconds("created_utc").alias("created_at"),
-                                              tx.extract_vehicle(F.concat_ws(" ", title, body)).alias("vehicle"))
+    """``id, title, selftext, author, created_utc`` -> posts; a post without a body has its title as content, a missing author stays null.
+
+    Titles stay as they are; a blank one is no content.  Blank is what holds only spaces of Unicode (Zs).
+    """
+    body, title = (F.nullif(F.trim(c, F.lit(SPACES)), F.lit("")) for c in ("selftext", "title"))
+    content = F.coalesce(body, title)
+    return df.filter(content.isNotNull()).select("id", "title", content.alias("content"), "author", F.timestamp_seconds("created_utc").alias("created_at"),
+                                                 tx.extract_vehicle(F.concat_ws(" ", title, content)).alias("vehicle"))
 
 
 def assemble_transcripts(captions: DataFrame) -> DataFrame:
