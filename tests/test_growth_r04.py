@@ -3,10 +3,12 @@
 import glob
 import os
 
+import numpy as np
 from compare import connect, differences
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from wirelake.operators import schematic, spatial
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,3 +38,56 @@ def test_profiles_of_events_without_a_type(spark, tmp_path):
     sf = with_table(spark, tmp_path, "events", events.withColumn("event_type", F.when(F.col("event_id") % 7 != 3, F.col("event_type"))))
     key = "t06_profile_state"
     assert differences(entry.queries()[key](spark, sf), connect(sf), entry.oracle_sql()[key]) == []
+
+
+def test_box_pairs_of_long_wide_and_tall_boxes(spark):
+    rng = np.random.default_rng(4)
+    low = rng.uniform(-500, 3000, (400, 2)).round(1)
+    extent = np.where(rng.random((400, 2)) < 0.3, rng.uniform(0, 2500, (400, 2)), rng.uniform(0, 40, (400, 2))).round(1)
+    rows = [(i % 2, i, float(x), float(y), float(x + w), float(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(low, extent))]
+    df = spark.createDataFrame(rows, "page int, id int, x1 double, y1 double, x2 double, y2 double")
+    for pad in (0.0, 4.0):
+        want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and all(a[k] - pad <= b[k + 2] + pad and b[k] - pad <= a[k + 2] + pad for k in (2, 3))}
+        got = [tuple(r) for r in spatial.box_pairs(df, df, ["page"], (50.0, 30.0), pad).select("a.id", "b.id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_box_pairs_does_not_meet_all_lines_of_a_column(spark):
+    # 2,000 wide lines above each other touch nothing but themselves: the join must not make their square
+    lines = spark.range(2000).select(F.lit(0).alias("page"), "id", F.lit(0.0).alias("x1"), (F.col("id") * 20.0).alias("y1"), F.lit(20000.0).alias("x2"), (F.col("id") * 20.0).alias("y2"))
+    pairs = spatial.box_pairs(lines, lines, ["page"], (200.0, 64.0), 4.0)
+    assert pairs.count() == 2000
+    text = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_gx" in line and "_gy" in line for line in text.split("\n") if "Join Inner" in line)
+
+
+def test_near_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    for axes in ("xy", "xyz"):
+        rows = [(int(i) % 2, int(i), *(float(v) for v in p)) for i, p in enumerate(np.r_[rng.integers(-40, 40, (150, 3)), rng.uniform(-40, 40, (150, 3))])]
+        df = spark.createDataFrame(rows, "page int, id int, x double, y double, z double")
+        n = len(axes)
+        want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and sum((a[2 + k] - b[2 + k]) ** 2 for k in range(n)) ** 0.5 <= 8.0}
+        got = [tuple(r) for r in spatial.near_pairs(df, df, 8.0, ["page"], axes).select("a.id", "b.id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        # copies of the right side: four in the plane and eight in space at most, nine and 27 before
+        plan = spatial.near_pairs(df, df, 8.0, ["page"], axes)._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" in plan
+
+
+def test_farthest_points_of_many_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"v{g}", 5.0, float(20 * k)) for g in range(3000) for k in range(2 + g % 4)]
+    odd = {f"o{g}": rng.integers(0, 30, (int(rng.integers(1, 60)), 2)).astype(float) for g in range(40)}
+    rows += [(g, float(x), float(y)) for g, p in odd.items() for x, y in {tuple(q) for q in p}]
+    df = spark.createDataFrame(rows, "wire_id string, x double, y double")
+    for share in (50000, 20):
+        got = {r["wire_id"]: (r["x1"], r["y1"], r["x2"], r["y2"]) for r in schematic._farthest(df, "wire_id", share).collect()}
+        assert len(got) == 3040
+        assert all(got[f"v{g}"] == (5.0, 0.0, 5.0, 20.0 * (1 + g % 4)) for g in range(3000))
+        for g, p in odd.items():
+            want = max(np.hypot(*(a - b)) for a in p for b in p)
+            assert abs(np.hypot(got[g][0] - got[g][2], got[g][1] - got[g][3]) - want) < 1e-9
+    # one Python call per bucket of points, not one per group
+    plan = schematic._farthest(df, "wire_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "_bucket" in plan
