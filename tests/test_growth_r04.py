@@ -8,7 +8,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wirelake.operators import schematic, spatial
+from wirelake.operators import graph, schematic, spatial
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -91,3 +91,15 @@ def test_farthest_points_of_many_groups(spark):
     # one Python call per bucket of points, not one per group
     plan = schematic._farthest(df, "wire_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "_bucket" in plan
+
+
+def test_components_of_pages_and_of_a_large_page(spark):
+    rng = np.random.default_rng(7)
+    nodes = [(p, f"{p}:{i}") for p in range(30) for i in range(40)]
+    links = [(p, f"{p}:{a}", f"{p}:{b}") for p in range(30) for a, b in rng.integers(0, 40, (25 if p else 400, 2))]
+    v = spark.createDataFrame(nodes, "page int, id string")
+    e = spark.createDataFrame(links, "page int, src string, dst string")
+    want = {tuple(r) for r in graph.connected_components(v.select("id"), e.select("src", "dst")).collect()}
+    for limit in (500_000, 100):  # with 100 the first page goes through the rounds, and the others come in several pieces
+        got = [tuple(r) for r in graph.components_by_key(v, e, ["page"], limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
