@@ -165,10 +165,11 @@ def _(t):
 def drawn(t):
     """Components of the drawing with designators and pin counts, and segments with their line as net."""
     named = ranking.assign_designators(t.detections.select("doc_id", "comp_id", F.col("comp_id").alias("id"), F.col("label").alias("type"), "x1", "y1", "x2", "y2"), "doc_id")
-    comp = named.withColumns({"pins": F.when(F.col("type").isin("resistor", "capacitor", "diode"), 2).when(F.col("type") == "transistor", 3).otherwise(4), "pin_labels": F.lit(0)})
-    nets = t.segments.withColumnRenamed("seg_id", "net_id")
-    label = spatial.net_label_pairs(nets, one_engine(t).filter(F.col("text").rlike("^[A-Z]")), KEY, 10.0)
-    found = label.join(one_engine(t).select("span_id", "text", "confidence"), "span_id")
+    comp = cut(named.withColumns({"pins": F.when(F.col("type").isin("resistor", "capacitor", "diode"), 2).when(F.col("type") == "transistor", 3).otherwise(4), "pin_labels": F.lit(0)}))
+    nets = lines_of(t).withColumnRenamed("seg_id", "net_id")
+    texts = cut(one_engine(t).filter(F.col("text").rlike("^[A-Z]")))
+    label = spatial.net_label_pairs(nets, texts, KEY, 10.0)
+    found = label.join(texts.select(*KEY, "span_id", "text", "confidence"), [*KEY, "span_id"])
     primary = ranking.primary_label(found.withColumn("label_type", F.lit("custom")), "net_id").select("doc_id", "net_id", "text", "confidence")
     return comp, nets, primary
 
