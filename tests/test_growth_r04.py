@@ -4,11 +4,13 @@ import glob
 import os
 
 import numpy as np
+import pyarrow as pa
 from compare import connect, differences
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wirelake.operators import graph, schematic, spatial
+from wirelake.functions import text as tx
+from wirelake.operators import evaluate, graph, schematic, spatial
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -103,3 +105,58 @@ def test_components_of_pages_and_of_a_large_page(spark):
     for limit in (500_000, 100):  # with 100 the first page goes through the rounds, and the others come in several pieces
         got = [tuple(r) for r in graph.components_by_key(v, e, ["page"], limit).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_word_distances_need_no_search_where_a_bound_decides(monkeypatch):
+    rng = np.random.default_rng(8)
+    lists = [[f"w{k}" for k in rng.integers(0, 12, rng.integers(0, 14))] for _ in range(300)]
+    others = [[w if rng.random() < 0.7 else f"w{rng.integers(0, 12)}" for w in words if rng.random() < 0.9] for words in lists]
+    lists, others = [None, ["a"], None, []] + lists, [["a"], None, None, []] + others
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return row[-1]
+
+    arrays = [pa.array(c, pa.list_(pa.string())) for c in (lists, others)]
+    want = [None if x is None or y is None else plain(x, y) for x, y in zip(lists, others)]
+    assert tx.word_distances(*arrays).to_pylist() == want
+    assert tx.word_distances(*[c.slice(2) for c in arrays]).to_pylist() == want[2:]
+    # misread and missing words are counted, not searched
+    monkeypatch.setattr(tx, "word_distance", None)
+    words = [f"w{k}" for k in range(5000)]
+    misread = [w + "x" if k % 7 == 0 else w for k, w in enumerate(words)]
+    assert tx.word_distances(pa.array([words, words]), pa.array([misread, words[::3]])).to_pylist() == [715, 3333]
+
+
+def test_ocr_matches_of_small_and_large_samples(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(60)]
+    seen = [(s, [words[k] for k in rng.integers(0, 60, 12)]) for s in range(8)] + [(8, [])]
+    known = {s: [words[k] for k in rng.integers(0, 60, 15)] for s in range(9)}
+
+    def close(x, y):
+        d = tx.word_distances(pa.array([list(x)]), pa.array([list(y)]))[0].as_py()
+        return d / max(len(x), len(y)) <= 0.2
+
+    rows = [(s, a, known[s], len(a) + 1, len(known[s])) for s, a in seen]
+    df = spark.createDataFrame(rows, "s int, seen array<string>, known array<string>, detected_count long, expected_count long")
+    for small in (512, 0):
+        got = {r["s"]: (r["precision"], r["recall"]) for r in evaluate.ocr_matches(df, ["s"], 0.2, small).collect()}
+        for s, a, b, n, m in rows:
+            want = (sum(any(close(x, y) for y in b) for x in a) / n, sum(any(close(x, y) for x in a) for y in b) / m)
+            assert np.allclose(got[s], want)
+
+
+def test_ocr_evaluation_files_each_word_once(spark, tmp_path):
+    # the shuffle of pairs of characters is gone: one exchange of the readings and one of the truth before the averages
+    spans = spark.createDataFrame([("a", 1, 0, "one"), ("a", 1, 1, "twq words"), ("b", 1, 0, None), ("b", 1, 1, "two")], "engine string, page int, pos int, text string")
+    truth = spark.createDataFrame([(1, "d", 0, "one"), (1, "d", 1, "two words")], "page int, lang string, pos int, text string")
+    got = {(r["engine"], r["lang"]): r for r in evaluate.ocr_evaluation(spans, truth, ["page"], "lang").collect()}
+    assert set(got) == {("a", None), ("b", None), (None, "d"), (None, None)}
+    a, b = got["a", None], got["b", None]
+    assert (a["avg_precision"], a["avg_recall"], a["avg_f1"]) == (1.0, 1.0, 1.0) and a["avg_wer"] == 1 / 3 and a["avg_cer"] == 1 / 13
+    assert (b["avg_precision"], b["avg_recall"], b["avg_f1"]) == (0.0, 0.0, 0.0) and got[None, "d"]["samples"] == 2
