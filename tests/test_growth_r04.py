@@ -160,3 +160,29 @@ def test_ocr_evaluation_files_each_word_once(spark, tmp_path):
     a, b = got["a", None], got["b", None]
     assert (a["avg_precision"], a["avg_recall"], a["avg_f1"]) == (1.0, 1.0, 1.0) and a["avg_wer"] == 1 / 3 and a["avg_cer"] == 1 / 13
     assert (b["avg_precision"], b["avg_recall"], b["avg_f1"]) == (0.0, 0.0, 0.0) and got[None, "d"]["samples"] == 2
+
+
+def test_k_paths_meet_in_the_middle(spark, monkeypatch):
+    # the distances of all nodes around each target are not needed: the halves meet
+    monkeypatch.setattr(graph, "bfs", None)
+    rng = np.random.default_rng(10)
+    links = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 12, (22, 2)) if a != b} | {("x0", "x1"), ("x1", "x2"), ("x2", "x3"), ("x3", "x4"), ("x4", "x5"), ("x5", "x6")})
+    edges = spark.createDataFrame([(a, b, "W") for a, b in links], "src string, dst string, rel_type string")
+    asked = [("n1", "n5"), ("n2", "n9"), ("n3", "n4"), ("x0", "x5"), ("x0", "x6"), ("n1", "x1"), ("n1", "none")]
+    for k, depth in ((4, 5), (1000, 4)):
+        want = {}
+        for s, t in asked:
+            trails, stack = [], [(s, (), (s,))]
+            while stack:
+                node, used, nodes = stack.pop()
+                if used and node == t:
+                    trails.append((len(used), ">".join(nodes)))
+                if len(used) < depth:
+                    for i, (a, b) in enumerate(links):
+                        if i not in used and node in (a, b):
+                            other = b if node == a else a
+                            stack.append((other, (*used, i), (*nodes, other)))
+            want |= {(s, t, rank): found for rank, found in enumerate(sorted(trails)[:k], 1)}
+        rows = graph.k_paths(edges, spark.createDataFrame(asked, "source string, target string"), k, depth).collect()
+        assert {(r["source"], r["target"], r["path_index"]): (r["path_length"], ">".join(r["path_nodes"])) for r in rows} == want
+        assert len(rows) == len(want) and all(len(r["path_relationships"]) == r["path_length"] for r in rows)
