@@ -151,8 +151,7 @@ def test_ocr_matches_of_small_and_large_samples(spark):
             assert np.allclose(got[s], want)
 
 
-def test_ocr_evaluation_files_each_word_once(spark, tmp_path):
-    # the shuffle of pairs of characters is gone: one exchange of the readings and one of the truth before the averages
+def test_ocr_evaluation_with_a_null_text(spark):
     spans = spark.createDataFrame([("a", 1, 0, "one"), ("a", 1, 1, "twq words"), ("b", 1, 0, None), ("b", 1, 1, "two")], "engine string, page int, pos int, text string")
     truth = spark.createDataFrame([(1, "d", 0, "one"), (1, "d", 1, "two words")], "page int, lang string, pos int, text string")
     got = {(r["engine"], r["lang"]): r for r in evaluate.ocr_evaluation(spans, truth, ["page"], "lang").collect()}
